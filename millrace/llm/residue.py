@@ -4,7 +4,7 @@ A record falls into passages (sentences and lines, of at most 30 words). Trusted
 passages of records that a fixed list of well-known error messages or placeholder forms covers; all other
 sampled passages are unlabelled. Naive Bayes starts with the unlabelled ones as negatives and is refined
 by expectation-maximization (a token counts once in a passage): trusted passages keep weight 1, the others take their posterior. The model
-is fitted on at most MAX_TRUSTED + MAX_UNLABELLED records, drawn by the order of a hash; every record is
+is fitted on at most MAX_TRUSTED + MAX_UNLABELLED records, drawn by a hash of the id; every record is
 scored. A record is a case if at least half of the words of its content lie in residue passages. In html
 the content is what the CRF of boilerplate.py keeps, and the text of noscript elements.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from millrace.llm.boilerplate import Model
 from millrace.llm.units import html_units, site_word
 
-MAX_TRUSTED, MAX_UNLABELLED, ROUNDS, SHARE = 1500, 4000, 6, 0.5
+MAX_TRUSTED, MAX_UNLABELLED, SAMPLE, ROUNDS, SHARE = 1500, 4000, 8000, 6, 0.5
 
 # Forms of placeholders, and messages that are trusted as signs of failed pages. Java and
 # Python read these patterns alike.
@@ -111,16 +111,24 @@ class Residue:
 
 
 def fit(parsed: DataFrame) -> Residue:
-    """The model, from bounded samples of parsed_documents.text_sample and the trusted forms themselves."""
-    rows = parsed.select(F.col("parsed_id").alias("id"), F.col("text_sample").alias("t")).filter("t is not null and t <> ''")
-    sure = F.col("t").rlike("(?i)" + MESSAGES) | (F.size(F.split("t", PLACEHOLDER)) > 3)
-    # Prose about such things is long and mentions them in passing; a failed page opens with them or is short.
-    sure = sure & ((F.length("t") < 400) | F.substring("t", 1, 120).rlike("(?i)" + MESSAGES + "|" + PLACEHOLDER))
-    order = [F.xxhash64("id"), F.col("id")]
-    trusted = [r[0] for r in rows.filter(sure).orderBy(*order).select("t").limit(MAX_TRUSTED).collect()]
-    rest = [r[0] for r in rows.filter(~sure).orderBy(*order).select("t").limit(MAX_UNLABELLED).collect()]
+    """The model, from a bounded sample of parsed_documents.text_sample and the trusted forms themselves.
+
+    The sample: records whose hashed id lies below a bound that leaves SAMPLE of them on average, at most
+    twice that many; of these the first MAX_TRUSTED trusted and MAX_UNLABELLED others in hash order."""
+    n = parsed.count()
+    mark = F.xxhash64(F.lit(4), "parsed_id")
+    share = min(1.0, SAMPLE / max(n, 1))
+    rows = parsed.filter(F.pmod(mark, F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = rows.select(mark.alias("m"), F.col("text_sample").alias("t")).filter("t is not null and t <> ''").limit(2 * SAMPLE)
+    message, form = re.compile(MESSAGES, re.I), re.compile(PLACEHOLDER)
+    trusted, rest = [], []
+    for _, t in sorted(map(tuple, rows.collect())):
+        # Prose about such things is long and mentions them in passing; a failed page opens with them or is short.
+        sure = message.search(t) or len(form.findall(t)) > 2
+        sure = sure and (len(t) < 400 or message.search(t[:120]) or form.search(t[:120]))
+        (trusted if sure else rest).append(t)
     seeds = [m.replace("\\[", "[").replace("\\]", "]").replace("\\w+", "title").replace("\\.", ".") for m in MESSAGES.split("|")]
-    return Residue.fit(seeds + trusted, rest)
+    return Residue.fit(seeds + trusted[:MAX_TRUSTED], rest[:MAX_UNLABELLED])
 
 
 def parsed_cases(parsed: DataFrame, model: Residue | None = None) -> DataFrame:
