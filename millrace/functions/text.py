@@ -85,11 +85,11 @@ def ascii_digits(c: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """Bytes as B, KB (one decimal) or MB (two)."""
+    """Bytes as B, KB (one decimal) or MB (two); exact halves go to the even digit."""
     return (
         F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < 1024 * 1024, F.concat(F.format_string("%.1f", n / 1024), F.lit(" KB")))
-        .otherwise(F.concat(F.format_string("%.2f", n / (1024 * 1024)), F.lit(" MB")))
+        .when(n < 1024 * 1024, F.concat(F.format_string("%.1f", F.bround(n / 1024, 1)), F.lit(" KB")))
+        .otherwise(F.concat(F.format_string("%.2f", F.bround(n / (1024 * 1024), 2)), F.lit(" MB")))
     )
 
 

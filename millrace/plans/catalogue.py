@@ -879,7 +879,8 @@ def replay_pages(spark, d):
 
 @query(
     """SELECT letter_id, coalesce(json_valid(payload) AND json_type(payload, '$.job_id') = 'VARCHAR' AND json_type(payload, '$.url') = 'VARCHAR'
-      AND json_type(payload, '$.depth') IN ('UBIGINT', 'BIGINT') AND json_type(payload, '$.max_depth') IN ('UBIGINT', 'BIGINT'), false) AS good FROM dead_letters WHERE queue = 'frontier'"""
+      AND json_type(payload, '$.depth') IN ('UBIGINT', 'BIGINT') AND json_type(payload, '$.max_depth') IN ('UBIGINT', 'BIGINT'), false) AS good
+      FROM (SELECT letter_id, CASE WHEN json_valid(payload) THEN payload END AS payload FROM dead_letters WHERE queue = 'frontier')"""
 )
 def letter_validity(spark, d):
     """The good and the malformed targets (DC7 for targets, SRC8's unparseable rows)."""
@@ -993,11 +994,18 @@ def parsed_pages(spark, d):
     )
 
 
-_ENTITIES = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+def _unescaped(c: str) -> str:
+    """Named entities, and decimal ones of Latin-1, Cyrillic and Arabic, decoded in SQL."""
+    c = f"replace(replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&nbsp;', chr(160))"
+    return (
+        f"replace(list_aggregate(list_transform(regexp_extract_all({c}, '&#[0-9]+;|[^&]+|&'), lambda x: CASE WHEN regexp_matches(x, '^&#[0-9]+;$')"
+        " THEN chr(try_cast(regexp_extract(x, '[0-9]+') AS INTEGER)) ELSE x END), 'string_agg', ''), '&amp;', '&')"
+    )
+
 
 
 @query(
-    f"""SELECT page_id, {_trim(_ENTITIES.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} AS title,
+    f"""SELECT page_id, coalesce({_trim(_unescaped("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))}, '') AS title,
       CASE WHEN regexp_matches(html, '(?i)<html[^>]*lang=') THEN lower(regexp_extract(html, '(?i)<html[^>]*lang="?([A-Za-z]+)', 1)) END AS lang_attr FROM raw_pages"""
 )
 def page_titles(spark, d):
