@@ -30,12 +30,11 @@ from pyspark.sql import functions as F
 from millrace.functions.urls import site
 from millrace.llm.crf import Chain, viterbi
 from millrace.llm.units import (
-    html_units, markdown_units, place_features, repeat_feature, site_word, tag_features, text_features,
+    html_units, markdown_units, place_features, repeat_feature, site_word, tag_features, text_shape,
 )
 from millrace.session import written
 
 _LINK = re.compile(r"\[([^\]]*)\]\([^)]*\)")
-_DECOR = re.compile(r"^[\s>*_#\-+]+|[\s*_]+$")
 _DIGITS = re.compile(r"\d+")
 
 
@@ -44,6 +43,10 @@ class Model:
 
     def __init__(self, weights: dict[str, float], chain: Chain):
         self.weights, self.chain, self._known = weights, chain, {}
+        self._word = {k[2:]: v for k, v in weights.items() if k[:2] == "w:"}
+        self._pair = {tuple(k[2:].split(" ")): v for k, v in weights.items() if k[:2] == "b:"}
+        self._first = {k[6:]: v for k, v in weights.items() if k[:6] == "first:"}
+        self._places: dict[tuple, float] = {}
         self.repeat = {k: weights.get(repeat_feature(k), 0.0) for k in (1, 2, 3, 5, 20)}
 
     def __reduce__(self):
@@ -59,27 +62,45 @@ class Model:
         if key not in self._known:
             if len(self._known) > 100_000:
                 self._known.clear()
+            names, words = text_shape(text, name)
             get = self.weights.get
-            value = sum(get(f, 0.0) for f in text_features(text, name))
+            value = sum([get(f, 0.0) for f in names])
+            if words:
+                word, pair = self._word.get, self._pair.get
+                value += sum([word(w, 0.0) for w in words]) + self._first.get(words[0], 0.0)
+                value += sum([pair(p, 0.0) for p in zip(words, words[1:])])
             if len(text) > 160:
                 return value
             self._known[key] = value
         return self._known[key]
 
+    def _place(self, k: int, n: int, title: bool, code: bool) -> float:
+        key = (min(k, 4), min(n - k, 5), title, code)
+        if key not in self._places:
+            self._places[key] = sum(self.weights.get(f, 0.0) for f in place_features(k, n, title, code))
+        return self._places[key]
+
+    def _tags(self, anc: tuple[str, ...], density: float) -> float:
+        key = (anc, round(density * 4))
+        if key not in self._places:
+            if len(self._places) > 50_000:
+                self._places.clear()
+            self._places[key] = sum(self.weights.get(f, 0.0) for f in tag_features(anc, density))
+        return self._places[key]
+
     def score_markdown(self, units: list[tuple[int, str, bool]], name: str) -> list[float]:
-        get, n, title, out = self.weights.get, len(units), False, []
-        base = get("is_md", 0.0)
+        n, title, out = len(units), False, []
+        base = self.weights.get("is_md", 0.0)
         for k, (_, line, code) in enumerate(units):
-            out.append(base + self._text(line, name) + sum(get(f, 0.0) for f in place_features(k, n, title, code)))
+            out.append(base + self._text(line, name) + self._place(k, n, title, code))
             title = title or (line.startswith("#") and not code)
         return out
 
     def score_html(self, units: list[tuple[str, tuple[str, ...], float]], name: str) -> list[float]:
-        get, n, title, out = self.weights.get, len(units), False, []
-        base = get("is_html", 0.0)
+        n, title, out = len(units), False, []
+        base = self.weights.get("is_html", 0.0)
         for k, (text, anc, density) in enumerate(units):
-            around = place_features(k, n, title, False) + tag_features(anc, density)
-            out.append(base + self._text(text, name) + sum(get(f, 0.0) for f in around))
+            out.append(base + self._text(text, name) + self._place(k, n, title, False) + self._tags(anc, density))
             title = title or "h1" in anc or "h2" in anc
         return out
 
@@ -91,16 +112,20 @@ class Model:
 
 def unit_key(host: str, text: str) -> int:
     """64-bit key of a unit within its site: markup, digits and case left out."""
-    bare = _DIGITS.sub("#", " ".join(_DECOR.sub("", _LINK.sub(r"\1", text)).lower().split()))
+    if "](" in text:
+        text = _LINK.sub(r"\1", text)
+    bare = _DIGITS.sub("#", text.lstrip(" >*_#-+").rstrip(" *_").lower())
     return xxhash.xxh64_intdigest(host + "\n" + bare) - (1 << 63)
 
 
-_ROWS = "tab string, rec_id long, score array<float>, key array<long>, md5 array<binary>, extra array<binary>"
+_ROWS = "tab string, rec_id long, score array<float>, key array<long>, md5 array<binary>, extra array<binary>, failed boolean"
 
 
-def scored(df: DataFrame, tab: str, id_col: str, text_col: str, kind: str, extra=None, hashes: bool = True) -> DataFrame:
+def scored(df: DataFrame, tab: str, id_col: str, text_col: str, kind: str, extra=None, hashes: bool = True, judge=None) -> DataFrame:
     """One row for each page: scores, keys and md5 of its units in order; key 0 for units above 200
-    characters. extra: from the units of many pages in one list, the bytes to keep with each."""
+    characters. extra: from the units of many pages in one list, the bytes to keep with each. judge: for
+    html, a test of the text of the content (labels without site counts) and of noscript elements, kept as
+    `failed`; pages without any unit come out as well then."""
     shared = df.sparkSession.sparkContext.broadcast(Model.load())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,21 +133,27 @@ def scored(df: DataFrame, tab: str, id_col: str, text_col: str, kind: str, extra
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                cols: list[list] = [[], [], [], [], []]
+                cols: list[list] = [[], [], [], [], [], []]
                 every: list = []
                 for i, host, page in zip(*(part.column(k).to_pylist() for k in range(3))):
-                    host = host or ""
+                    host, bad = host or "", False
                     name = site_word(host)
                     if kind == "html":
-                        units = html_units(page)
+                        units = html_units(page, noscript=judge is not None)
+                        quiet = [u[0] for u in units if "noscript" in u[1]]
+                        units = [u for u in units if "noscript" not in u[1]] if quiet else units
                         texts = [u[0] for u in units]
                         score = model.score_html(units, name)
+                        if judge:
+                            own = viterbi(np.array(score) + model.repeat[1], np.array([len(score)]), model.chain) if score else []
+                            bad = judge(" ".join([t for t, y in zip(texts, own) if not y] + quiet))
                     else:
                         units = markdown_units(page)
                         texts = [u[1] for u in units]
                         score = model.score_markdown(units, name)
-                    if not texts:
+                    if not texts and not judge:
                         continue
+                    cols[5].append(bad)
                     cols[0].append(i)
                     cols[1].append(score)
                     cols[2].append([unit_key(host, t) if len(t) < 200 else 0 for t in texts])
@@ -144,8 +175,9 @@ def scored(df: DataFrame, tab: str, id_col: str, text_col: str, kind: str, extra
                         pa.array(cols[2], pa.list_(pa.int64())),
                         pa.array(cols[3], pa.list_(pa.binary())),
                         pa.array(cols[4], pa.list_(pa.binary())),
+                        pa.array(cols[5], pa.bool_()),
                     ],
-                    names=["tab", "rec_id", "score", "key", "md5", "extra"],
+                    names=["tab", "rec_id", "score", "key", "md5", "extra", "failed"],
                 )
 
     rows = df.select(F.col(id_col).cast("long").alias("i"), site(F.col("url")).alias("s"), F.col(text_col).alias("p"))
@@ -208,13 +240,13 @@ def _site_units(tab, rec, md5, extra, labels):
     return [(tab, rec, h.hex()) for h in {h for h, y in zip(md5, labels) if y} - own]
 
 
-def boilerplate_units(parsed: DataFrame, raw: DataFrame, without: DataFrame | None = None) -> DataFrame:
+def boilerplate_units(parsed: DataFrame, raw: DataFrame, without: DataFrame | None = None, judge=None) -> DataFrame:
     """(tab, rec_id, unit_md5) of the distinct units that are not the page's own, over both tables.
-    without: (tab, rec_id) of records left out."""
+    without: (tab, rec_id) of records left out; judge: a test for pages left out (see scored)."""
     rows = scored(parsed, "parsed_documents", "parsed_id", "markdown", "md").unionByName(
-        scored(raw, "raw_pages", "page_id", "html", "html")
+        scored(raw, "raw_pages", "page_id", "html", "html", judge=judge)
     )
-    rows = with_counts(written(rows))
+    rows = with_counts(written(rows)).filter("not failed")
     if without is not None:
         rows = rows.join(without, ["tab", "rec_id"], "left_anti")
     return decode(rows, _site_units, "tab string, rec_id long, unit_md5 string")

@@ -22,8 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.boilerplate import Model
-from millrace.llm.units import html_units, site_word
+from millrace.llm.boilerplate import scored
 
 MAX_TRUSTED, MAX_UNLABELLED, SAMPLE, ROUNDS, SHARE = 1500, 4000, 8000, 6, 0.5
 
@@ -48,13 +47,26 @@ _SPLIT = re.compile(r"(?<=[.!?؟…])\s+|\n+")
 _TOKEN = re.compile(rf"(?P<ph>{PLACEHOLDER})|(?P<tr>\b\w+\.(?:js|php|py|java)(?::\d+)?)|(?P<hex>\b(?=\w*\d)[0-9a-f]{{7,}}\b)|(?P<n>\d+)|(?P<w>[^\W\d_]+)")
 
 
+#: Tokens of odd forms; a number is the empty token.
+_KINDS = {"ph": "<ph>", "tr": "<tr>", "hex": "<hex>", "n": ""}
+#: Without any of these a passage holds words and numbers only.
+_ODD = re.compile(
+    r"[{}<%\[@$#_.\d](?:(?<=[{}<%\[@$#])|(?<=_)_|(?<=\.)(?:js|php|py|java)\b|(?<=\d)(?:[a-f]|\d{6})|(?<=[a-f]\d))"
+)
+_PLAIN = re.compile(r"([^\W\d_]{1,5})[^\W\d_]*|\d+")
+
+
 def passages(text: str) -> Iterator[list[str]]:
     """Tokens of each passage: words by their first five letters, numbers and odd forms by their kind."""
     for part in _SPLIT.split(text):
-        tokens = []
-        for m in _TOKEN.finditer(part):
-            kind = m.lastgroup
-            tokens.append(m.group().lower()[:5] if kind == "w" else f"<{kind}>")
+        if _ODD.search(part):
+            tokens = [m.group().lower()[:5] if m.lastgroup == "w" else _KINDS[m.lastgroup] for m in _TOKEN.finditer(part)]
+        else:
+            tokens = _PLAIN.findall(part.lower())
+        if len(tokens) <= 30:
+            if tokens:
+                yield tokens
+            continue
         for at in range(0, len(tokens), 30):
             yield tokens[at : at + 30]
 
@@ -149,25 +161,18 @@ def parsed_cases(parsed: DataFrame, model: Residue | None = None) -> DataFrame:
     return rows.filter("parsed_id is not null and t is not null and t <> ''").mapInPandas(run, "parsed_id long")
 
 
-def raw_cases(raw: DataFrame, model: Residue) -> DataFrame:
-    """(page_id) of the pages whose content is residue."""
-    from millrace.functions.urls import site
+def html_judge(raw: DataFrame, model: Residue):
+    """The test of a page's content for boilerplate.scored."""
+    shared = raw.sparkSession.sparkContext.broadcast(model)
 
-    shared = raw.sparkSession.sparkContext.broadcast((model, Model.load()))
+    def judge(content: str) -> bool:
+        bad, total = shared.value.share(content)
+        return bool(bad) and bad >= SHARE * total
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        residue, crf = shared.value
-        for pdf in batches:
-            found = []
-            for i, host, page in zip(pdf["page_id"].tolist(), pdf["site"].tolist(), pdf["html"].tolist()):
-                units = html_units(page, noscript=True)
-                quiet = [u for u in units if "noscript" in u[1]]
-                shown = [u for u in units if "noscript" not in u[1]]
-                labels = crf.label_html(shown, site_word(host or "")) if shown else []
-                bad, total = residue.share(" ".join([u[0] for u, y in zip(shown, labels) if not y] + [u[0] for u in quiet]))
-                if bad and bad >= SHARE * total:
-                    found.append(i)
-            yield pd.DataFrame({"page_id": pd.Series(found, dtype="int64")})
+    return judge
 
-    rows = raw.select(F.col("page_id").cast("long").alias("page_id"), site(F.col("url")).alias("site"), "html")
-    return rows.filter("page_id is not null and html is not null and html <> ''").mapInPandas(run, "page_id long")
+
+def raw_cases(raw: DataFrame, model: Residue) -> DataFrame:
+    """(page_id) of the pages whose content is residue."""
+    rows = scored(raw, "raw_pages", "page_id", "html", "html", hashes=False, judge=html_judge(raw, model))
+    return rows.filter("failed").select(F.col("rec_id").alias("page_id"))

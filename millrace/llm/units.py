@@ -100,6 +100,7 @@ _DECOR = re.compile(r"^(?:(#{1,6})\s+|([-*+])\s+|(>)\s*|(\d+[.)])\s+)+")
 _LINK = re.compile(r"\[([^\]]*)\]\([^)]*\)")
 _DATE = re.compile(r"\d{1,4}[./-]\d{1,2}[./-]\d{1,4}")
 _STOP = re.compile(r"[.!?؟…۔][\"'»)\]]*$")
+_DIGIT = re.compile(r"\d")
 _INNER = re.compile(r"[.!?؟…۔][\"'»)]*\s+\S")
 
 
@@ -113,8 +114,9 @@ def site_word(host: str) -> str:
     return re.sub(r"[^a-z0-9]", "", label)
 
 
-def text_features(text: str, name: str) -> list[str]:
-    """Features of the text alone. name: site_word of the page's site."""
+def text_shape(text: str, name: str) -> tuple[list[str], list[str] | None]:
+    """Features of the text alone, and its words if there are at most 25 of them. name: site_word of the
+    page's site."""
     out = []
     body = text
     m = _DECOR.match(text)
@@ -151,14 +153,18 @@ def text_features(text: str, name: str) -> list[str]:
         out.append("date")
     if name and name in words:
         out.append("name")
-    if not long:
-        out += ["w:" + w for w in words]
-        if words:
-            out.append("first:" + words[0])
-        if n > 1:
-            out += ["b:%s %s" % p for p in zip(words, words[1:])]
-        if any(c.isdigit() for c in body):
-            out.append("digit")
+    if long:
+        return out, None
+    if _DIGIT.search(body):
+        out.append("digit")
+    return out, words
+
+
+def text_features(text: str, name: str) -> list[str]:
+    """All features of the text, words and pairs of words as well."""
+    out, words = text_shape(text, name)
+    if words:
+        out = [*out, "first:" + words[0], *("w:" + w for w in words), *("b:%s %s" % p for p in zip(words, words[1:]))]
     return out
 
 
