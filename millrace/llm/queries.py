@@ -36,10 +36,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     without = (
         bad.select(F.lit("parsed_documents").alias("tab"), F.col("parsed_id").alias("rec_id"))
         .unionByName(pages.select(F.lit("raw_pages").alias("tab"), F.col("page_id").alias("rec_id")))
-        .unionByName(residue.raw_cases(raw, model).select(F.lit("raw_pages").alias("tab"), F.col("page_id").alias("rec_id")))
-        .distinct()
     )
-    return boilerplate.boilerplate_units(parsed, raw, without)
+    return boilerplate.boilerplate_units(parsed, raw, without, residue.html_judge(raw, model))
 
 
 def p1_main_text(spark: SparkSession, d: str) -> DataFrame:
@@ -65,8 +63,9 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     parsed = _parsed(spark, d)
-    segs = written(language.segments(parsed, table(spark, d, "language_samples"), failed_and_spam(spark, d)))
-    return language.relabelled(parsed, segs)
+    segs = written(language.segments(parsed, table(spark, d, "language_samples")))
+    found = language.relabelled(parsed, segs)
+    return found.join(failed_and_spam(spark, d), "parsed_id", "left_anti")
 
 
 def p3_segments(spark: SparkSession, d: str) -> DataFrame:
