@@ -244,7 +244,7 @@ def leaks(
                     {
                         item_id: pd.Series([r[0] for r in rows], dtype="int64"),
                         doc_id: pd.Series([r[1] for r in rows], dtype="int64"),
-                        "spans": [[{"first": a, "last": b} for a, b in r[2]] for r in rows],
+                        "spans": pd.Series([[{"first": a, "last": b} for a, b in r[2]] for r in rows], dtype=object),
                     }
                 )
 

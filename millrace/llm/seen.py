@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from millrace.session import written
 
-BLOCK = 128
+BLOCK, WIDE = 128, 4096
 
 
 @dataclass
@@ -42,8 +42,11 @@ class GolombSet:
     def build(cls, values: np.ndarray, bits: int) -> GolombSet:
         """values: sorted, distinct, non-negative int64."""
         bases, counts, unary, low = [], [], [], []
-        for at in range(0, len(values), BLOCK):
-            part = values[at : at + BLOCK]
+        # A gap of more than WIDE quotients, which hashes hardly ever leave, begins a block as well.
+        wide = np.flatnonzero(np.diff(values) >> bits > WIDE) + 1
+        edges = np.unique(np.concatenate([np.arange(0, len(values), BLOCK), wide, [len(values)]])).astype(np.int64)
+        for at, end in zip(edges, edges[1:]):
+            part = values[at:end]
             gaps = np.diff(part)
             quotients = gaps >> bits
             ends = np.cumsum(quotients + 1) - 1
