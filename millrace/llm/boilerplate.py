@@ -258,7 +258,7 @@ def main_text(parsed: DataFrame) -> DataFrame:
     bad = decode(rows, _bad_lines, "parsed_id long, line_no int").groupBy("parsed_id").agg(F.collect_list("line_no").alias("drop"))
     gone = F.coalesce("drop", F.array().cast("array<int>"))
     lines = F.split(F.col("markdown"), "\n", -1)
-    return parsed.join(bad, "parsed_id", "left").select(
+    return parsed.select("parsed_id", "markdown").join(bad, "parsed_id", "left").select(
         "parsed_id", F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n").alias("text")
     )
 

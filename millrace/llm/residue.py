@@ -26,6 +26,10 @@ from millrace.llm.boilerplate import scored
 
 MAX_TRUSTED, MAX_UNLABELLED, SAMPLE, ROUNDS, SHARE = 1500, 4000, 8000, 6, 0.5
 
+#: Most that one word may say for residue: less than the prior holds against it, so that it takes two
+#: (or one odd form, such as a placeholder).
+MOST = 2.5
+
 # Forms of placeholders, and messages that are trusted as signs of failed pages. Java and
 # Python read these patterns alike.
 PLACEHOLDER = (
@@ -41,7 +45,10 @@ MESSAGES = (
     "|schakel javascript|javascript in te schakelen|включите javascript|works best with javascript"
     "|does not support scripts|something went wrong|no longer available|lorem ipsum dolor|\\[object object\\]"
     "|undefined \\w+: |nan \\w+: |placeholder for|goes here|your text here|type something here|sample text\\."
-    "|blindtext|texte à remplacer|texto de relleno"
+    "|blindtext|texte à remplacer|texto de relleno|traceback \\(most recent call last\\)|too many requests|request timed out"
+    "|your session has expired|could not be found|seite nicht gefunden|page introuvable|est introuvable|página no encontrada"
+    "|página solicitada no existe|página não encontrada|página não existe|pagina niet gevonden|страница не найдена"
+    "|صفحه پیدا نشد|صفحه یافت نشد"
 )
 _SPLIT = re.compile(r"(?<=[.!?؟…])\s+|\n+")
 _TOKEN = re.compile(rf"(?P<ph>{PLACEHOLDER})|(?P<tr>\b\w+\.(?:js|php|py|java)(?::\d+)?)|(?P<hex>\b(?=\w*\d)[0-9a-f]{{7,}}\b)|(?P<n>\d+)|(?P<w>[^\W\d_]+)")
@@ -97,14 +104,15 @@ class Residue:
             n_yes, n_no = sum(yes.values()) + 1.0, sum(no.values()) + 1.0
             size = len(yes | no) + 1
             odds = {
-                t: max(-4.0, min(4.0, math.log((yes[t] + 0.1) / (n_yes + 0.1 * size)) - math.log((no[t] + 0.1) / (n_no + 0.1 * size))))
+                t: max(-4.0, min(4.0 if t[:1] == "<" else MOST, math.log((yes[t] + 0.1) / (n_yes + 0.1 * size)) - math.log((no[t] + 0.1) / (n_no + 0.1 * size))))
                 for t in (yes | no)
             }
             # Only what trusted passages use may speak for residue: other kinds of text that are unlike
             # prose (lists of keywords, say) would else be drawn in, round by round.
             odds = {t: v if t in known else min(v, 0.0) for t, v in odds.items()}
             share = (len(positive) + sum(weight)) / max(1, len(positive) + len(other))
-            model = cls(odds, max(-3.0, math.log(max(share, 1e-4) / max(1 - share, 1e-4))))
+            prior = math.log(max(share, 1e-4) / max(1 - share, 1e-4))
+            model = cls(odds, min(-MOST - 0.1, max(-3.0, prior)))
             weight = [1 / (1 + math.exp(-max(-30.0, min(30.0, model.score(c))))) for c in other]
         return model
 
@@ -139,7 +147,7 @@ def fit(parsed: DataFrame) -> Residue:
         sure = message.search(t) or len(form.findall(t)) > 2
         sure = sure and (len(t) < 400 or message.search(t[:120]) or form.search(t[:120]))
         (trusted if sure else rest).append(t)
-    seeds = [m.replace("\\[", "[").replace("\\]", "]").replace("\\w+", "title").replace("\\.", ".") for m in MESSAGES.split("|")]
+    seeds = [m.replace("\\[", "[").replace("\\]", "]").replace("\\(", "(").replace("\\)", ")").replace("\\w+", "title").replace("\\.", ".") for m in MESSAGES.split("|")]
     return Residue.fit(seeds + trusted[:MAX_TRUSTED], rest[:MAX_UNLABELLED])
 
 
