@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.urls import WS
+from millrace.functions.urls import WS, strip
 
 # Ranges of the scripts that the language fallback knows, in their order.
 SCRIPTS = (("fa", "؀-ۿﮊ"), ("ru", "Ѐ-ӿ"), ("en", "A-Za-z"))
@@ -16,7 +16,7 @@ SCRIPT_SHARE = 0.4
 
 def normal(c: Column) -> Column:
     """White space runs as one blank, none at the ends, lower-cased."""
-    return F.lower(F.regexp_replace(F.regexp_replace(c, f"{WS}+", " "), "^ | $", ""))
+    return F.lower(F.trim(F.regexp_replace(c, f"{WS}+", " ")))
 
 
 def fingerprint(c: Column) -> Column:
@@ -54,7 +54,7 @@ def clean_markdown(c: Column) -> Column:
     c = F.regexp_replace(c, r"[ \t]+", " ")
     c = F.regexp_replace(c, f"{WS}+([,.:;?!])", "$1")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return strip(c)
 
 
 def script_counts(c: Column) -> Column:

@@ -23,9 +23,13 @@ WS = r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{2
 _ABSOLUTE = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
+#: The same characters, for trimming.
+WS_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
 def strip(c: Column) -> Column:
-    """White space off both ends, as str.strip does."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    """White space off both ends, as str.strip does; only the ends are looked at."""
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 @F.pandas_udf(T.StringType())
