@@ -11,9 +11,11 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text, urls
@@ -292,11 +294,15 @@ def documents(pages: DataFrame) -> DataFrame:
 
 def first_of_content(docs: DataFrame, fp: str = "fingerprint", order: tuple[str, ...] = ("fetched_at", "page_id")) -> DataFrame:
     """docs with is_duplicate: another page with the same body came before it. Pages without text ('' as
-    fingerprint) are never duplicates. Only keys enter the window; a body that a third of all pages share
-    is kept from one task by ranking within 64 salts first."""
-    salt = F.pmod(F.xxhash64(*order), F.lit(64))
+    fingerprint) are never duplicates; rows equal in `order` share their fate.
+
+    Only fingerprints and order columns are compared: the first of a body is a minimum with map-side
+    combine, and the duplicates' own keys, which are spread evenly, carry the answer back to the wide rows.
+    docs is read more than once, so give it written (session.written), not as a plan over raw pages."""
     keys = docs.select(fp, *order).filter(F.col(fp) != "")
-    least = F.min(F.struct(*order)).alias("least")
-    firsts = keys.groupBy(fp, salt.alias("salt")).agg(least).groupBy(fp).agg(F.min("least").alias("least"))
-    joined = docs.join(firsts, fp, "left")
-    return joined.withColumn("is_duplicate", F.coalesce(F.struct(*order) != F.col("least"), F.lit(False))).drop("least")
+    firsts = keys.groupBy(fp).agg(F.min(F.struct(*order)).alias("first_of_body"))
+    later = keys.join(firsts, fp).filter(F.struct(*order) != F.col("first_of_body"))
+    later = later.select(*[F.col(c).alias(f"_{c}") for c in order]).distinct().withColumn("is_duplicate", F.lit(True))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in order))
+    marked = docs.join(later, same, "left").drop(*[f"_{c}" for c in order])
+    return marked.withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False)))

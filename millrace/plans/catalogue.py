@@ -282,7 +282,7 @@ def content_dedup(spark, d):
     """JN2, WN6, ST3: the first of each body stays; texts without content are exempt."""
     t = text.normal(F.coalesce("text", F.lit("")))
     docs = table(spark, d, "documents").select("doc_id", F.when(t != "", text.fingerprint(t)).otherwise("").alias("fingerprint"))
-    return extract.first_of_content(docs, order=("doc_id",)).select("doc_id", "is_duplicate")
+    return extract.first_of_content(written(docs), order=("doc_id",)).select("doc_id", "is_duplicate")
 
 
 @query(
@@ -518,9 +518,9 @@ def scheduled_once(spark, d):
 
 
 _LEASES = """
-    p AS (SELECT letter_id, letter_id || ':' || payload AS item FROM dead_letters WHERE letter_id % 5 <> 0),
-    l AS (SELECT sha1(letter_id || ':' || payload) AS lease_id, failed_at_ms AS deadline_ms FROM dead_letters WHERE letter_id % 4 <> 0),
-    n AS (SELECT sha1(letter_id || ':' || payload) AS lease_id, letter_id % 6 AS n FROM dead_letters WHERE letter_id % 6 > 0)"""
+    p AS (SELECT letter_id, letter_id || ':' || payload AS item FROM dead_letters WHERE queue = 'frontier'),
+    l AS (SELECT sha1(letter_id || ':' || payload) AS lease_id, failed_at_ms AS deadline_ms FROM dead_letters WHERE reason <> 'invalid URL'),
+    n AS (SELECT sha1(letter_id || ':' || payload) AS lease_id, length(payload) % 6 AS n FROM dead_letters)"""
 
 
 @query(
@@ -531,13 +531,14 @@ _LEASES = """
     SELECT lease_id, action, CASE WHEN action = 'adopt' THEN 1768000120000 ELSE deadline_ms END::BIGINT AS deadline_ms FROM a"""
 )
 def lease_reaper(spark, d):
-    """JN5, AG10, DC8, SM5. The letters stand for items: some without a lease, some leases without an item."""
+    """JN5, AG10, DC8, SM5. Letters of the frontier stand for items in processing, those for other reasons than
+    an invalid address for leases: so some items have no lease, some leases no item."""
     t = table(spark, d, "dead_letters").withColumn("item", F.concat(F.col("letter_id").cast("string"), F.lit(":"), F.col("payload")))
     lease = F.sha1("item").alias("lease_id")
     return frontier.reap(
-        t.filter("letter_id % 5 <> 0").select("item"),
-        t.filter("letter_id % 4 <> 0").select(lease, F.col("failed_at_ms").alias("deadline_ms")),
-        t.filter("letter_id % 6 > 0").select(lease, (F.col("letter_id") % 6).alias("n")),
+        t.filter("queue = 'frontier'").select("item"),
+        t.filter("reason <> 'invalid URL'").select(lease, F.col("failed_at_ms").alias("deadline_ms")),
+        t.select(lease, (F.length("payload") % 6).alias("n")),
         1_768_000_000_000,
     ).select("lease_id", "action", "deadline_ms")
 
@@ -726,15 +727,14 @@ def job_counters(spark, d):
 
 
 @query(
-    """WITH l AS (SELECT user_id AS job_id, CASE WHEN event_type IN ('signup', 'view', 'click') THEN 1 ELSE -1 END AS delta, (epoch_us(ts) // 1000) AS at_ms, event_type = 'click' AS claimed FROM events
-      WHERE event_id % 3 > 0),
+    """WITH l AS (SELECT user_id AS job_id, CASE WHEN event_type IN ('signup', 'view', 'click') THEN 1 ELSE -1 END AS delta, (epoch_us(ts) // 1000) AS at_ms, event_type = 'click' AS claimed FROM events),
     j AS (SELECT job_id, sum(delta) AS outstanding, max(at_ms) FILTER (delta < 0) AS last_finish, bool_or(claimed OR delta < 0) AS began FROM l GROUP BY 1)
     SELECT job_id, outstanding::BIGINT AS outstanding, CASE WHEN outstanding <= 0 THEN 'completed' WHEN began THEN 'running' ELSE 'enqueued' END AS status,
       CASE WHEN outstanding <= 0 THEN last_finish END AS completed_at_ms FROM j"""
 )
 def job_accounting(spark, d):
     """AG3: events as a log of enqueued and finished items."""
-    e = table(spark, d, "events").filter("event_id % 3 > 0")
+    e = table(spark, d, "events")
     more = F.col("event_type").isin("signup", "view", "click")
     return jobs.accounting(
         e.select(
@@ -867,13 +867,13 @@ def replay_all(spark, d):
 
 
 @query(
-    """WITH k AS (SELECT DISTINCT payload FROM dead_letters WHERE queue = 'raw_pages' AND letter_id % 2 = 0)
+    """WITH k AS (SELECT DISTINCT payload FROM dead_letters WHERE queue = 'raw_pages' AND reason <> 'payload missing or expired')
     SELECT letter_id, CASE WHEN payload IN (FROM k) THEN 'replayed' ELSE 'dropped' END AS outcome FROM dead_letters WHERE queue = 'raw_pages'"""
 )
 def replay_pages(spark, d):
-    """JN7: pages of the letters with even numbers still exist."""
+    """JN7: all pages exist but those whose letter says that they do not."""
     letters = table(spark, d, "dead_letters")
-    live = letters.filter("queue = 'raw_pages' and letter_id % 2 = 0").select(F.col("payload").alias("page_key"))
+    live = letters.filter("queue = 'raw_pages' and reason <> 'payload missing or expired'").select(F.col("payload").alias("page_key"))
     return deadletters.replay_pages(letters, live, None).select("letter_id", "outcome")
 
 
@@ -987,7 +987,7 @@ def payload_lookup(spark, d):
 @query()
 def parsed_pages(spark, d):
     """HT1-HT19, FN1-FN5, JN2: the flagship. Pages to documents, duplicates by content out."""
-    docs = extract.first_of_content(extract.documents(table(spark, d, "raw_pages")))
+    docs = extract.first_of_content(written(extract.documents(table(spark, d, "raw_pages"))))
     return docs.filter("error is null and not is_duplicate").select(
         "page_id", "job_id", "url", "title", "meta_description", "language", "metadata", "extracted_links", "text_sample", "markdown",
         "fingerprint", "estimated_tokens", "raw_html_bytes", "markdown_bytes", "token_savings_pct",
@@ -1059,7 +1059,8 @@ def child_targets(spark, d):
 @query()
 def parse_outcomes(spark, d):
     """DC7: what becomes of every page."""
-    docs = extract.first_of_content(extract.documents(table(spark, d, "raw_pages")))
+    docs = extract.documents(table(spark, d, "raw_pages")).select("page_id", "job_id", "fetched_at", "fingerprint", "error")
+    docs = extract.first_of_content(written(docs))
     outcome = F.when(F.col("error").isNotNull(), "dead").when(F.col("is_duplicate"), "duplicate").otherwise("commit")
     return docs.groupBy("job_id").agg(*[F.count_if(outcome == o).alias(o) for o in ("commit", "duplicate", "dead")])
 
