@@ -12,7 +12,9 @@ INLINE = frozenset("a abbr b code em font i small span strong sub sup".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SKIP = frozenset("head script style noscript template".split())
 _PLACES = frozenset("nav header footer aside article main section form table ul ol li p blockquote pre h1 h2 h3 h4 h5 h6 td div".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?][^>]*>", re.S)
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)(?:>|\Z)|<[!?][^>]*>", re.S
+)
 _CLASS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]{3,}")
 _ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in _SKIP}
@@ -100,6 +102,7 @@ _DECOR = re.compile(r"^(?:(#{1,6})\s+|([-*+])\s+|(>)\s*|(\d+[.)])\s+)+")
 _LINK = re.compile(r"\[([^\]]*)\]\([^)]*\)")
 _DATE = re.compile(r"\d{1,4}[./-]\d{1,2}[./-]\d{1,4}")
 _STOP = re.compile(r"[.!?؟…۔][\"'»)\]]*$")
+_BREAKS = (". ", "! ", "? ", "؟ ", "… ", "۔ ")
 _DIGIT = re.compile(r"\d")
 _INNER = re.compile(r"[.!?؟…۔][\"'»)]*\s+\S")
 
@@ -134,6 +137,16 @@ def text_shape(text: str, name: str) -> tuple[list[str], list[str] | None]:
         out.append("emph")
         body = body.strip("*_")
     low = body.lower()
+    n = body.count(" ") + 1
+    if n > 40:
+        # Prose: how much of it, and whether it reads like sentences.
+        inner = sum(body.count(mark) for mark in _BREAKS)
+        out += ["n%d0" % min(n // 10, 6), "stop%d_in%d" % (bool(_STOP.search(body[-8:])), min(inner, 3))]
+        if "|" in body:
+            out.append("bar")
+        if name and name in low:
+            out.append("name")
+        return out, None
     words = WORD.findall(low)
     n = len(words)
     long = n > 25
