@@ -1,11 +1,11 @@
 """Page boilerplate against main content: a linear-chain CRF over the leaf units of a page.
 
 Units are the text blocks between tags of html, or the lines of Markdown. Features are the unit's words
-and shape, its ancestor tags and class words, its place, and in how many documents of its site it
-occurs. The weights are trained by train_boilerplate.py on labelled pages; labels are decoded by Viterbi.
+and shape, its ancestor tags and class words, its place, and under how many titles of its site it
+occurs (so that copies of one article do not make its lines look like the site's). The weights are trained by train_boilerplate.py on labelled pages; labels are decoded by Viterbi.
 
 The plan: one pass over the pages gives each unit its score without the site count, its md5 and a key
-of site and masked text; keys are counted per site with partial aggregation; the few counts above one go
+of site and masked text; keys are counted by title with partial aggregation; the few counts above one go
 back to their units; a second pass over arrays of numbers (no text) decodes. The text is read once.
 
 Defined results: null and empty pages give no units; a null or broken url makes the site '' (its units
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from millrace.functions.urls import site
 from millrace.llm.crf import Chain, viterbi
 from millrace.llm.units import (
-    html_units, markdown_units, place_features, repeat_feature, site_word, tag_features, text_shape,
+    html_units, markdown_units, page_title, place_features, repeat_feature, site_word, tag_features, text_shape,
 )
 from millrace.session import written
 
@@ -118,7 +118,7 @@ def unit_key(host: str, text: str) -> int:
     return xxhash.xxh64_intdigest(host + "\n" + bare) - (1 << 63)
 
 
-_ROWS = "tab string, rec_id long, score array<float>, key array<long>, md5 array<binary>, extra array<binary>, failed boolean"
+_ROWS = "tab string, rec_id long, score array<float>, key array<long>, md5 array<binary>, extra array<binary>, failed boolean, title long"
 
 
 def scored(df: DataFrame, tab: str, id_col: str, text_col: str, kind: str, extra=None, hashes: bool = True, judge=None) -> DataFrame:
@@ -133,7 +133,7 @@ def scored(df: DataFrame, tab: str, id_col: str, text_col: str, kind: str, extra
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                cols: list[list] = [[], [], [], [], [], []]
+                cols: list[list] = [[], [], [], [], [], [], []]
                 every: list = []
                 for i, host, page in zip(*(part.column(k).to_pylist() for k in range(3))):
                     host, bad = host or "", False
@@ -154,6 +154,8 @@ def scored(df: DataFrame, tab: str, id_col: str, text_col: str, kind: str, extra
                     if not texts and not judge:
                         continue
                     cols[5].append(bad)
+                    named = page_title(units, kind)
+                    cols[6].append(unit_key(host, named) if named else xxhash.xxh64_intdigest(f"{tab} {i}") - (1 << 63))
                     cols[0].append(i)
                     cols[1].append(score)
                     cols[2].append([unit_key(host, t) if len(t) < 200 else 0 for t in texts])
@@ -176,8 +178,9 @@ def scored(df: DataFrame, tab: str, id_col: str, text_col: str, kind: str, extra
                         pa.array(cols[3], pa.list_(pa.binary())),
                         pa.array(cols[4], pa.list_(pa.binary())),
                         pa.array(cols[5], pa.bool_()),
+                        pa.array(cols[6], pa.int64()),
                     ],
-                    names=["tab", "rec_id", "score", "key", "md5", "extra", "failed"],
+                    names=["tab", "rec_id", "score", "key", "md5", "extra", "failed", "title"],
                 )
 
     rows = df.select(F.col(id_col).cast("long").alias("i"), site(F.col("url")).alias("s"), F.col(text_col).alias("p"))
@@ -185,11 +188,11 @@ def scored(df: DataFrame, tab: str, id_col: str, text_col: str, kind: str, extra
 
 
 def with_counts(rows: DataFrame) -> DataFrame:
-    """rows (written) with `seen`: (place, documents of the site) of each unit that is in several. A unit
+    """rows (written) with `seen`: (place, titles of the site) of each unit that is under several. A unit
     of a third of all pages is one key here: counts are aggregated before the shuffle, and the way back is
     an equi-join that the adaptive skew join splits."""
     spots = rows.select("tab", "rec_id", F.posexplode("key").alias("place", "k")).filter("k <> 0")
-    once = rows.select(F.explode(F.array_distinct("key")).alias("k")).filter("k <> 0")
+    once = rows.select("title", F.explode(F.array_distinct("key")).alias("k")).filter("k <> 0").distinct()
     counts = once.groupBy("k").agg(F.count(F.lit(1)).cast("int").alias("n")).filter("n > 1")
     seen = (
         spots.join(counts, "k")

@@ -2,7 +2,7 @@
 
 Pages are labelled by recurrence over sites: a line is the site's if its form, with digits, rare words and
 the site's own name masked, recurs on many sites; or if it ends in no sentence mark and its masked first
-two words do; or if the very line recurs on a fair part of its own site. Everything else is the page's.
+two words do; or if the very line recurs under a fair part of the titles of its own site. Everything else is the page's.
 The bound on labelled pages is MAX_PAGES. Writes crf_weights.json beside this file."""
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ from millrace.llm import crf
 from millrace.llm.residue import MESSAGES, PLACEHOLDER
 from millrace.llm.spam import divergence, tokens
 from millrace.llm.units import (
-    LETTER, WORD, html_units, markdown_units, place_features, repeat_feature, site_word, tag_features, text_features,
+    LETTER, WORD, html_units, markdown_units, page_title, place_features, repeat_feature, site_word, tag_features, text_features,
 )
 
 MAX_PAGES = 12_000
-SITES, PREFIX_SITES, RARE = 8, 12, 40
+SITES, PREFIX_SITES, RARE = 5, 4, 40
 OUT = Path(__file__).with_name("crf_weights.json")
 _HOST = re.compile(r"^\s*[a-z]+://(?:[^/@]*@)?([^/:?#]*)", re.I)
 _LINK = re.compile(r"\[([^\]]*)\]\([^)]*\)")
@@ -60,7 +60,7 @@ def main(data: str) -> None:
         kept = [(h, prose[l]) for l, h in hits.items() if 5 * h >= max(hits.values())]
         return bool(failed.search(text)) or (n >= 20 and divergence(c, n, kept) > 4.4)
 
-    odd = []
+    odd, titles = [], []
     pages = []  # (site, name, units as (text, features of place and tags))
     for _, _, url, text in md:
         site = host_of(url)
@@ -72,6 +72,7 @@ def main(data: str) -> None:
             title |= line.startswith("#") and not code
         pages.append((site, site_word(site), rows))
         odd.append(is_odd(" \n".join(r[0] for r in rows)))
+        titles.append(page_title(units, "md") or f"md {len(pages)}")
     for _, _, url, text in raw:
         site = host_of(url)
         units = html_units(text or "")
@@ -83,6 +84,7 @@ def main(data: str) -> None:
             title |= any(x in ("h1", "h2") for x in anc)
         pages.append((site, site_word(site), rows))
         odd.append(is_odd(" \n".join(r[0] for r in rows)))
+        titles.append(page_title(units, "html") or f"html {len(pages)}")
 
     df = Counter()
     for _, _, rows in pages:
@@ -94,11 +96,11 @@ def main(data: str) -> None:
         t = WORD.sub(lambda m: m.group() if m.group() in common and m.group() not in names else "N", re.sub(r"\d+", "9", bare(line)))
         return re.sub(r"N( N)+", "N", t)
 
-    forms, firsts, own = defaultdict(set), defaultdict(set), Counter()
-    site_docs = Counter(s for s, _, _ in pages)
-    for (s, _, rows), skip in zip(pages, odd):
+    forms, firsts, under, site_titles = defaultdict(set), defaultdict(set), defaultdict(set), defaultdict(set)
+    for (s, _, rows), skip, title in zip(pages, odd, titles):
+        site_titles[s].add(title)
         for line in {x[0] for x in rows}:
-            own[s, re.sub(r"\d+", "#", bare(line))] += 1
+            under[s, re.sub(r"\d+", "#", bare(line))].add(title)
             if skip:
                 continue
             f = form(line)
@@ -108,6 +110,9 @@ def main(data: str) -> None:
             if not re.search(r"[.!?؟…]$", f) and len(firsts[p]) < PREFIX_SITES:
                 firsts[p].add(s)
 
+    own = Counter({k: len(v) for k, v in under.items()})
+    site_docs = {k: len(v) for k, v in site_titles.items()}
+
     def label(site: str, line: str, kept: bool) -> int:
         if kept:
             return 0

@@ -202,8 +202,15 @@ def tag_features(anc: tuple[str, ...], density: float) -> list[str]:
     return out
 
 
+def page_title(units: list, kind: str) -> str | None:
+    """Text of the first heading, by which copies of a page are known as one."""
+    if kind == "html":
+        return next((t.lower() for t, anc, _ in units if "h1" in anc or "h2" in anc), None)
+    return next((line.lstrip("# ").lower() for _, line, code in units if line[:1] == "#" and not code), None)
+
+
 def repeat_feature(n: int) -> str:
-    """Feature of the number of documents of the site that have the unit."""
+    """Feature of the number of titles on the site under which the unit occurs."""
     return "rep%d" % (n if n < 3 else 3 if n < 5 else 5 if n < 20 else 20)
 
 
