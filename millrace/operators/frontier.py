@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.urls import routing_host
+from millrace.operators.ordered import running
 from millrace.settings import DEFAULTS, Settings
 
 
@@ -49,14 +50,10 @@ def claim_order(claims: DataFrame, hosts: DataFrame, limit: int = DEFAULTS.claim
 
 
 def politeness_plan(routed: DataFrame, gap_ms: Column, tie: str, start_ms: int) -> DataFrame:
-    """Earliest contact of every target: one in flight for each host, each after the gaps before it.
-
-    One host's targets are one ordered sequence, so they share a task; the window runs over narrow rows
-    and keeps a running sum, not the group."""
-    before = Window.partitionBy("host").orderBy("score", tie).rowsBetween(Window.unboundedPreceding, -1)
-    at = F.lit(start_ms) + F.coalesce(F.sum(gap_ms).over(before), F.lit(0))
-    place = F.row_number().over(Window.partitionBy("host").orderBy("score", tie))
-    return routed.withColumn("contact_ms", at.cast("long")).withColumn("place", place.cast("long"))
+    """Earliest contact of every target: one in flight for each host, each after the gaps before it. A host
+    that holds a third of all targets is cut into blocks (see ordered.running)."""
+    planned = running(routed, "host", [F.col("score"), F.col(tie)], gap_ms)
+    return planned.withColumn("contact_ms", (F.lit(start_ms) + F.col("before")).cast("long")).drop("before")
 
 
 def next_ready(hosts: DataFrame) -> DataFrame:

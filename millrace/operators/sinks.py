@@ -6,11 +6,12 @@ import os
 import shutil
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import file_key, front_matter
 from millrace.functions.urls import slug
+from millrace.operators.ordered import running
 from millrace.settings import DEFAULTS
 
 
@@ -77,8 +78,7 @@ def bundle_parts(docs: DataFrame, site: Column, parsed_at: Column, tie: str = "p
     in newest-first order under a table of contents. Parts stay rows: a site may hold a third of all
     documents and never becomes one string in one task. The index runs over narrow rows only."""
     keyed = docs.withColumn("site", site)
-    by = Window.partitionBy("site").orderBy(F.desc("parsed_at"), F.desc(tie))
-    idx = keyed.select("site", "parsed_at", tie).withColumn("idx", F.row_number().over(by).cast("long"))
+    idx = running(keyed.select("site", "parsed_at", tie), "site", [F.desc("parsed_at"), F.desc(tie)], place="idx")
     size = keyed.groupBy("site").agg(F.count(F.lit(1)).alias("of"))
     rows = keyed.join(idx.select(tie, "idx"), tie).join(size, "site")
     title = F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("Document "), F.col("idx").cast("string")))

@@ -113,6 +113,17 @@ def test_claims_one_for_each_host(spark):
     assert {r.id: r.contact_ms for r in plan} == {2: 0, 1: 1000, 3: 0}
 
 
+def test_running_sums_in_blocks(spark):
+    from millrace.operators.ordered import running
+
+    rows = [("hot", k, k % 7) for k in range(500)] + [(f"h{k % 9}", k, 2) for k in range(90)]
+    got = running(spark.createDataFrame(rows, "key string, at int, w int"), "key", [F.desc("at")], F.col("w"), blocks=6).collect()
+    for key in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == key), key=lambda r: -r[1])
+        want = {r[1]: (n + 1, sum(x[2] for x in mine[:n])) for n, r in enumerate(mine)}
+        assert {r["at"]: (r["place"], r["before"]) for r in got if r["key"] == key} == want
+
+
 def test_reaper(spark):
     s = Settings(max_redeliveries=1)
     items = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "item string")
