@@ -29,6 +29,10 @@ from pyspark.sql import functions as F
 from millrace.functions.urls import strip
 
 
+#: Items that one task packs at most, on average, however small they are.
+TASK_ITEMS = 500_000
+
+
 def best_fit(
     sizes: np.ndarray, capacity: int, max_docs: int, max_cost: float, rule: str = "residual"
 ) -> tuple[np.ndarray, int]:
@@ -111,8 +115,8 @@ def pack(
     max_cost_share: bound of the sum of squared sizes as a share of capacity squared, from which an item
     that reaches it alone is exempt. task_units: size units that one task packs."""
     items = sized_items(df, id_col, text_col, capacity)
-    total = df.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    tasks = max(1, math.ceil(total / task_units))
+    total, n = df.agg(F.sum(F.octet_length(F.col(text_col))), F.count(text_col)).first()
+    tasks = max(1, math.ceil((total or 0) / task_units), math.ceil(n / TASK_ITEMS))
     cost = max_cost_share * capacity * capacity
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
