@@ -20,6 +20,7 @@ DEAD_PREFIXES = ("javascript:", "mailto:", "tel:", "#")
 
 #: White space as Python's str.strip sees it: Java's \s is ASCII only.
 WS = r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_HOSTPORT = r"^(\[[^\]]*\]|[^:]*)(?::(.*))?$"
 _ABSOLUTE = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
@@ -107,6 +108,50 @@ def canonicalize(url: Column, idn: bool = True) -> Column:
     return F.when(good & host.isNotNull(), F.concat(p["scheme"], F.lit("://"), host, port, path, query))
 
 
+# The same in steps for arrays, each step a transform of its own: inside a lambda the planner cannot share what
+# an expression has in common with itself.
+
+
+def _split(url: Column) -> Column:
+    # Tabs and line ends inside an address are dropped before it is split.
+    s = F.regexp_replace(strip(url), r"[\t\r\n]", "")
+    return F.struct(*[F.regexp_extract(s, _ABSOLUTE, k).alias(n) for k, n in ((1, "scheme"), (2, "authority"), (3, "path"), (4, "query"))])
+
+
+def _refine(p: Column) -> Column:
+    hostport = F.regexp_replace(p["authority"], r"^.*@", "")
+    return F.struct(
+        F.lower(p["scheme"]).alias("scheme"),
+        F.lower(F.regexp_extract(hostport, _HOSTPORT, 1)).alias("host"),
+        F.regexp_extract(hostport, _HOSTPORT, 2).alias("port"),
+        p["path"].alias("path"),
+        p["query"].alias("query"),
+    )
+
+
+def _compose(p: Column) -> Column:
+    port_number = p["port"].try_cast("int")
+    default = F.when(p["scheme"] == "http", F.lit(80)).otherwise(F.lit(443))
+    port = F.when((p["port"] == "") | (port_number == default), F.lit("")).otherwise(
+        F.concat(F.lit(":"), port_number.cast("string"))
+    )
+    host = F.when(~p["host"].rlike(r"[^\x00-\x7f]"), p["host"])
+    path = F.when(p["path"] == "", F.lit("/")).otherwise(remove_dot_segments(p["path"]))
+    query = F.when(p["query"] == "?", F.lit("")).otherwise(p["query"])
+    good = (
+        p["scheme"].isin("http", "https")
+        & (p["host"] != "")
+        & ((p["port"] == "") | (p["port"].rlike("^[0-9]+$") & port_number.between(0, 65535)))
+        & ~p["host"].rlike(r"^[^\[].*[\[\]]|^\[[^\]]*$")
+    )
+    return F.when(good, F.concat(p["scheme"], F.lit("://"), host, port, path, query))
+
+
+def canonicalize_all(addresses: Column) -> Column:
+    """canonicalize(idn=False) of every element of an array."""
+    return F.transform(F.transform(F.transform(addresses, _split), _refine), _compose)
+
+
 def url_host(canonical: Column) -> Column:
     """Host of a canonical address, without the port ('' when there is none)."""
     return F.regexp_extract(canonical, r"^https?://(\[[^\]]*\]|[^/?#:]*)", 1)
@@ -182,6 +227,22 @@ def link_target(
     return F.when(followable(href) & canon.isNotNull() & ~is_asset(canon) & inside, canon)
 
 
+def link_targets(base: Column, hrefs: Column, stay_in_domain: Column, scope_host: Column) -> Column:
+    """link_target of every element of an array, without what is no target; hosts outside ASCII are left out."""
+    b = F.struct(
+        strip(base).alias("base"),
+        F.coalesce(F.nullif(scope_host, F.lit("")), url_host(F.lower(strip(base)))).alias("boundary"),
+        F.coalesce(stay_in_domain, F.lit(False)).alias("stay"),
+    )
+
+    def all_of(p: Column) -> Column:
+        found = canonicalize_all(F.transform(F.filter(hrefs, followable), lambda h: resolve(p["base"], h)))
+        return F.filter(found, lambda c: c.isNotNull() & ~is_asset(c) & (~p["stay"] | in_scope(url_host(c), p["boundary"])))
+
+    # One element, so that what depends on the page alone is computed once.
+    return F.flatten(F.transform(F.array(b), all_of))
+
+
 def slug(url: Column) -> Column:
     """File name of a site: host and path, other characters as '_', no '_' at the ends, 80 characters."""
     place = F.regexp_replace(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://", "")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text, urls
 from millrace.functions.dom import Element, parse
+from millrace.session import spread
 
 # What is never content.
 REMOVED_TAGS = (
@@ -260,14 +261,14 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept] + [n for n, _ in _FIELDS])
 
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [_DDL])
-    return pages.select(*[f.name for f in kept], html_col).mapInArrow(run, ddl)
+    return spread(pages.select(*[f.name for f in kept], html_col)).mapInArrow(run, ddl)
 
 
 def links(base: Column, hrefs: Column, stay: Column, scope: Column) -> Column:
     """The distinct crawlable links of a page, without itself, in code point order."""
     own = urls.canonicalize(base, idn=False)
-    found = F.transform(hrefs, lambda h: urls.link_target(base, h, stay, scope, idn=False))
-    return F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull() & ~x.eqNullSafe(own))))
+    found = F.array_distinct(urls.link_targets(base, hrefs, stay, scope))
+    return F.array_sort(F.array_except(found, F.array(own)))
 
 
 def documents(pages: DataFrame) -> DataFrame:

@@ -32,6 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df for a stage that works long on each row: a plain scan of fewer partitions than there are cores is
+    dealt out to all of them. Larger inputs, and plans with shuffles of their own, stay as they are."""
+    plan = df._jdf.queryExecution().executedPlan()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Adaptive" in plan.nodeName() or "Exchange" in plan.toString():
+        return df
+    return df.repartition(cores) if plan.execute().getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: what the session names in spark.checkpoint.dir, else
     (tests on one machine) a temporary one that is then set for the session."""
