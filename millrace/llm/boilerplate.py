@@ -32,7 +32,7 @@ from millrace.llm.crf import Chain, viterbi
 from millrace.llm.units import (
     html_units, markdown_units, page_title, place_features, repeat_feature, site_word, tag_features, text_shape,
 )
-from millrace.session import written
+from millrace.session import spread, written
 
 _LINK = re.compile(r"\[([^\]]*)\]\([^)]*\)")
 _DIGITS = re.compile(r"\d+")
@@ -184,7 +184,7 @@ def scored(df: DataFrame, tab: str, id_col: str, text_col: str, kind: str, extra
                 )
 
     rows = df.select(F.col(id_col).cast("long").alias("i"), site(F.col("url")).alias("s"), F.col(text_col).alias("p"))
-    return rows.filter("i is not null and p is not null and p <> ''").mapInArrow(run, _ROWS)
+    return spread(rows.filter("i is not null and p is not null and p <> ''")).mapInArrow(run, _ROWS)
 
 
 def with_counts(rows: DataFrame) -> DataFrame:

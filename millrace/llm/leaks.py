@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import spread
+
 WORD = re.compile(r"[^\W_]+")
 END, GAP, FIRST = 0, 1, 2
 
@@ -219,6 +221,7 @@ def leaks(
     ]
     schema = f"{item_id} long, {doc_id} long, spans array<struct<first:long,last:long>>"
     source = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text_col).alias("t")).filter("d is not null and t is not null")
+    source = spread(source)
     out = None
     for at in range(0, max(1, len(listed)), items_at_once):
         shared = docs.sparkSession.sparkContext.broadcast(listed[at : at + items_at_once])

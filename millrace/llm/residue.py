@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.boilerplate import scored
+from millrace.session import spread
 
 MAX_TRUSTED, MAX_UNLABELLED, SAMPLE, ROUNDS, SHARE = 1500, 4000, 8000, 6, 0.5
 
@@ -166,7 +167,7 @@ def parsed_cases(parsed: DataFrame, model: Residue | None = None) -> DataFrame:
             yield pd.DataFrame({"parsed_id": pd.Series(found, dtype="int64")})
 
     rows = parsed.select(F.col("parsed_id").cast("long").alias("parsed_id"), F.col("text_sample").alias("t"))
-    return rows.filter("parsed_id is not null and t is not null and t <> ''").mapInPandas(run, "parsed_id long")
+    return spread(rows.filter("parsed_id is not null and t is not null and t <> ''")).mapInPandas(run, "parsed_id long")
 
 
 def html_judge(raw: DataFrame, model: Residue):
