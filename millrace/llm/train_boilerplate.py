@@ -20,7 +20,7 @@ from millrace.llm import crf
 from millrace.llm.residue import MESSAGES, PLACEHOLDER
 from millrace.llm.spam import divergence, tokens
 from millrace.llm.units import (
-    LETTER, WORD, html_units, markdown_units, page_title, place_features, repeat_feature, site_word, tag_features, text_features,
+    WORD, html_units, markdown_units, page_title, place_features, repeat_feature, site_word, tag_features, text_features,
 )
 
 MAX_PAGES = 12_000
