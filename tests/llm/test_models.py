@@ -214,6 +214,19 @@ def test_spam_pages(spark):
     assert spam.spam_cases(df.limit(0), samples(spark)).count() == 0
 
 
+def test_short_link_lists(spark):
+    lists = [
+        "\n".join(f"https://s{k}.example/x" for k in range(26)), "# Two Words\n\n" + "\n".join(f"Name https://s{k}.test/x\nhttps://t{k}.test/" for k in range(12)),
+        "# Two Words\n\n" + "\n".join(f"* [Name {k}](https://s{k}.test/)" for k in range(9)), "Alpha\nBeta\nGamma",
+    ]
+    notes = ["# Bridges\n\nThe old bridge was repaired, see https://a.test/x and https://b.test/y for more.", "# Bridges\n\nThe old bridge was repaired.", "buy now"]
+    rows = [(k, t, ["x"] * 20) for k, t in enumerate(lists)] + [(10 + k, t, ["x"] * (20 if "." in t else 1)) for k, t in enumerate(notes)]
+    rows += [(100 + k, f"{t} {t}", []) for k, t in enumerate([*PROSE.values()] * 10)]
+    df = spark.createDataFrame(rows, "parsed_id long, markdown string, extracted_links array<string>")
+    assert {r.parsed_id for r in spam.spam_cases(df, samples(spark)).collect()} == set(range(len(lists)))
+    assert spam.curves(df, samples(spark)).count() == len(rows)
+
+
 def test_curve_is_that_of_the_page(spark):
     text = " ".join("a" for _ in range(40)) + " " + " ".join("b" for _ in range(20)) + " " + " ".join(f"c{k}" for k in range(10))
     df = spark.createDataFrame([(1, text, [])], "parsed_id long, markdown string, extracted_links array<string>")
