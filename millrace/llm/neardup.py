@@ -4,8 +4,10 @@ Every document is the set of 64-bit hashes of its shingles, sorted: its head is
 the candidate search the hash range is cut into 2**s equal strata and each keeps its own smallest values;
 an inverted list is kept for each tuple of the r smallest values of a stratum (r = 3, or 2 where strata
 are few), because the list of a single common value would hold a tenth of all documents. Two sets of
-similarity j agree on one tuple with probability about j**r, on some tuple out of all almost surely. A
-pair from a list is dropped at once if 256 one-bit samples of the two sets rule the similarity out; what
+similarity j agree on one tuple with probability about j**r, on some tuple out of all almost surely. Small
+sets have too few tuples for that: pairs whose smaller set has at most SHORT values meet in lists for a
+value and the two sizes, filled from the first values of each set that two sets of these sizes and the
+threshold's overlap cannot both miss, and are not sampled, so none of them is lost. A pair from a list is dropped at once if 256 one-bit samples of the two sets rule the similarity out; what
 is left is estimated on the bottom-k sketch of the union, and verified by exact Jaccard on the full sets.
 Each of these steps carries only what it needs: keys and ids first (most keys have one document and end
 there), then samples, then sketches, and full sets for the few pairs that remain.
@@ -21,6 +23,7 @@ one of them speaks); an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -35,6 +38,8 @@ from millrace.session import spread, written
 WORD = re.compile(r"[^\W_]+")
 SKETCH = 64
 SAMPLES = 256
+#: Values of the smaller set up to which pairs are found exactly.
+SHORT = 32
 _SAMPLES = np.arange(SAMPLES, dtype=np.uint64) << np.uint64(56)
 
 
@@ -83,6 +88,23 @@ def _tuple_keys(u: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
+def _short_keys(u: np.ndarray, threshold: float) -> np.ndarray:
+    """Keys of the lists for a value and two sizes: sets of n and m values at the threshold share o, so the
+    least of what they share is among the first n - o + 1 values of the one and m - o + 1 of the other."""
+    n = len(u)
+    low = max(1, math.ceil(threshold * n - 1e-9))
+    if low > SHORT:
+        return np.empty(0, dtype=np.int64)
+    high = int(n / threshold + 1e-9) if n <= SHORT else SHORT
+    out = []
+    for m in range(low, high + 1):
+        shared = max(1, math.ceil(threshold * (n + m) / (1 + threshold) - 1e-9))
+        sizes = np.uint64(min(n, m) << 20 | max(n, m))
+        key = (u[: n - shared + 1] ^ (sizes * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)
+        out.append(key ^ (key >> np.uint64(32)))
+    return np.concatenate(out).view(np.int64)
+
+
 def _samples(u: np.ndarray) -> np.ndarray:
     """256 bits: the lowest bit of the first value of each of 256 strata (the next one's, where empty)."""
     at = np.searchsorted(u, _SAMPLES)
@@ -91,7 +113,7 @@ def _samples(u: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def _prepare(df: DataFrame, id_col: str, text_col: str, shingle: int, min_words: int) -> DataFrame:
+def _prepare(df: DataFrame, id_col: str, text_col: str, shingle: int, min_words: int, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
         for batch in batches:
@@ -102,7 +124,8 @@ def _prepare(df: DataFrame, id_col: str, text_col: str, shingle: int, min_words:
                     n, u = shingler(t)
                     if n >= min_words and len(u):
                         head = (u[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes()
-                        rows.append((i, len(u), xxhash.xxh128_digest(u.tobytes()), *_samples(u).tolist(), head, _tuple_keys(u)))
+                        keys = np.concatenate([_tuple_keys(u), _short_keys(u, threshold)])
+                        rows.append((i, len(u), xxhash.xxh128_digest(u.tobytes()), *_samples(u).tolist(), head, keys))
                 cols = list(zip(*rows)) if rows else [[]] * 9
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -192,7 +215,7 @@ def near_duplicates(
 ) -> tuple[DataFrame, DataFrame]:
     """(membership, links): membership is (id, class_id, n_shingles), class_id being the smallest id with
     the same shingle set; links is (a, b, jaccard), a < b, between class ids with jaccard >= threshold."""
-    prepared = _prepare(df, id_col, text_col, shingle, min_words)
+    prepared = _prepare(df, id_col, text_col, shingle, min_words, threshold)
     if without is not None:
         prepared = prepared.join(without.select(F.col(id_col).cast("long").alias("id")), "id", "left_anti")
     prepared = written(prepared)
@@ -219,7 +242,7 @@ def near_duplicates(
     may = SAMPLES * (p + 4.5 * F.sqrt(F.lit(p * (1 - p)) / filled))
     ratio = small >= F.greatest("x.n", "y.n") * threshold - 1e-9
     candidates = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & ratio & (apart <= may))
+        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & ratio & ((small <= SHORT) | (apart <= may)))
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         .distinct()
     )

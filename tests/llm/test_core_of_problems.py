@@ -59,6 +59,19 @@ def test_pairs_equal_brute_force(spark, n, threshold, least):
     assert len(got) == len(set(got)) and set(got) == _brute_pairs(rows, n, least, threshold)
 
 
+@pytest.mark.parametrize("n,threshold,least", [(5, 0.8, 5), (3, 0.6, 3)])
+def test_short_pairs_equal_brute_force(spark, n, threshold, least):
+    rng, rows = random.Random(5), []
+    for _ in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(7, 45))]
+        rows += [" ".join(w) for w in (base, base[1:], base[:-1], base + ["more"], base + ["two", "words"], _edited(rng, base, 0.05))]
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "id long, t string")
+    m, links = neardup.near_duplicates(df, "id", "t", threshold, n, least)
+    want = _brute_pairs(rows, n, least, threshold)
+    assert len(want) > 300 and {tuple(r) for r in neardup.all_pairs(m, links).collect()} == want
+
+
 def test_a_third_of_all_rows_is_one_text(spark):
     rows = _copies(2, 4) + [(1000 + k, "one text copied very often " * 10) for k in range(40)]
     df = spark.createDataFrame(rows, "id long, t string")
