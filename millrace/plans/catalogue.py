@@ -84,7 +84,17 @@ def canonical_urls_idn(spark, d):
     SELECT regexp_extract(canonical, '^https?://([^/?#:]*)', 1) AS host, count(*) AS n FROM canon WHERE canonical IS NOT NULL GROUP BY 1"""
 )
 def host_counts(spark, d):
-    c = table(spark, d, "crawl_targets").select(urls.canonicalize(F.col("url"), idn=False).alias("c")).filter("c is not null")
+    """Of hosts in ASCII; host_counts_idn has all."""
+    return _host_counts(spark, d, False)
+
+
+@query()
+def host_counts_idn(spark, d):
+    return _host_counts(spark, d, True)
+
+
+def _host_counts(spark, d, idn: bool) -> DataFrame:
+    c = table(spark, d, "crawl_targets").select(urls.canonicalize(F.col("url"), idn).alias("c")).filter("c is not null")
     return c.groupBy(urls.url_host(F.col("c")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -110,8 +120,17 @@ def _scope_sql(h: str, s: str) -> str:
     SELECT t.target_id, {_scope_sql('h.host', 't.scope_host')} AS in_scope FROM crawl_targets t JOIN h ON h.k = t.target_id"""
 )
 def scope_tests(spark, d):
-    """URL6 of every target against its scope."""
-    host = urls.url_host(F.coalesce(urls.canonicalize(F.col("url"), idn=False), F.lit("")))
+    """URL6 of every target against its scope; hosts outside ASCII are in none (scope_tests_idn has them)."""
+    return _scope_tests(spark, d, False)
+
+
+@query()
+def scope_tests_idn(spark, d):
+    return _scope_tests(spark, d, True)
+
+
+def _scope_tests(spark, d, idn: bool) -> DataFrame:
+    host = urls.url_host(F.coalesce(urls.canonicalize(F.col("url"), idn), F.lit("")))
     return table(spark, d, "crawl_targets").select("target_id", urls.in_scope(host, F.col("scope_host")).alias("in_scope"))
 
 
@@ -210,9 +229,10 @@ _KINDS = f"""
       FROM crawl_targets t JOIN canon c ON c.k = t.target_id LEFT JOIN f USING (canonical))"""
 
 
-def _kinds(spark, d) -> DataFrame:
-    seen = table(spark, d, "jobs").select(urls.canonicalize(F.col("url"), idn=False).alias("url")).filter("url is not null")
-    return submit.classified(table(spark, d, "crawl_targets").select("target_id", "url"), seen, pos="target_id", idn=False)
+# Punycode is beyond the SQL, so the queries with SQL take hosts outside ASCII as invalid; those named _idn do not.
+def _kinds(spark, d, idn: bool = False) -> DataFrame:
+    seen = table(spark, d, "jobs").select(urls.canonicalize(F.col("url"), idn).alias("url")).filter("url is not null")
+    return submit.classified(table(spark, d, "crawl_targets").select("target_id", "url"), seen, pos="target_id", idn=idn)
 
 
 @query(f"WITH {_KINDS} SELECT target_id, canonical, kind FROM kinds")
@@ -227,7 +247,11 @@ def submitted_kinds(spark, d):
 )
 def submitted_targets(spark, d):
     """SRC2: the targets of the accepted addresses (without their new job ids)."""
-    k = _kinds(spark, d).filter("kind = 'enqueued'")
+    return _targets(_kinds(spark, d))
+
+
+def _targets(kinds: DataFrame) -> DataFrame:
+    k = kinds.filter("kind = 'enqueued'")
     return submit.targets(k.withColumnRenamed("url", "given"), job_id=F.col("target_id")).withColumnRenamed("job_id", "target_id")
 
 
@@ -252,6 +276,27 @@ def batch_reports(spark, d):
     return submit.batch_report(_kinds(spark, d), pos="target_id")
 
 
+@query()
+def submitted_kinds_idn(spark, d):
+    """submitted_kinds with punycode."""
+    return _kinds(spark, d, True).select("target_id", "canonical", "kind")
+
+
+@query()
+def submitted_targets_idn(spark, d):
+    return _targets(_kinds(spark, d, True))
+
+
+@query()
+def submit_report_idn(spark, d):
+    return submit.report(_kinds(spark, d, True))
+
+
+@query()
+def batch_reports_idn(spark, d):
+    return submit.batch_report(_kinds(spark, d, True), pos="target_id")
+
+
 @query("SELECT target_id, job_id, url, depth, max_depth, priority, stay_in_domain, scope_host, attempts FROM crawl_targets")
 def target_json(spark, d):
     """SRC4: targets written as JSON lines and read again."""
@@ -803,10 +848,19 @@ _METRICS = f"""{_canonical_sql('crawl_targets', 'target_id')},
 
 @query(f"WITH {_METRICS} SELECT * FROM m")
 def cluster_metrics(spark, d):
-    """AG4, AG5."""
+    """AG4, AG5; unique_urls_seen without hosts outside ASCII (cluster_metrics_idn counts them)."""
+    return _cluster_metrics(spark, d, False)
+
+
+@query()
+def cluster_metrics_idn(spark, d):
+    return _cluster_metrics(spark, d, True)
+
+
+def _cluster_metrics(spark, d, idn: bool) -> DataFrame:
     t, letters = table(spark, d, "crawl_targets"), table(spark, d, "dead_letters")
     host = urls.routing_host(F.col("url"))
-    of_targets = t.select("attempts", F.nullif(host, F.lit("")).alias("host"), urls.canonicalize(F.col("url"), idn=False).alias("c")).agg(
+    of_targets = t.select("attempts", F.nullif(host, F.lit("")).alias("host"), urls.canonicalize(F.col("url"), idn).alias("c")).agg(
         F.count_if(F.col("attempts") == 0).alias("pending_queue"),
         F.countDistinct("host").alias("active_hosts"),
         F.count_if(F.col("attempts") > 0).alias("delayed_retry"),
@@ -834,6 +888,11 @@ def prometheus_lines(spark, d):
     return jobs.prometheus_lines(cluster_metrics(spark, d))
 
 
+@query()
+def prometheus_lines_idn(spark, d):
+    return jobs.prometheus_lines(cluster_metrics_idn(spark, d))
+
+
 @query("SELECT count(DISTINCT url) AS unique_urls_seen FROM parsed_documents")
 def unique_urls(spark, d):
     """AG5."""
