@@ -6,6 +6,8 @@ UDF for their punycode form, and every other row sends it a null.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,6 +52,26 @@ def _punycode(host: pd.Series) -> pd.Series:
     return host.map(ascii_form, na_action="ignore")
 
 
+_WEB_HOST = re.compile(r"^((?:https?:)?//(?:[^/?#]*@)?)([^/?#:@]+)", re.I)
+
+
+def ascii_host(host: str) -> str:
+    """A host in punycode; one that has none stays as it is."""
+    try:
+        return host if host.isascii() else host.lower().encode("idna").decode("ascii")
+    except UnicodeError:
+        return host
+
+
+def ascii_address(address: str | None) -> str | None:
+    """A web address, or a link as a page has it, with its host in punycode; all else stays as it is."""
+    if address is None or address.isascii():
+        return address
+    s = re.sub(r"[\t\r\n]", "", address.strip())
+    m = _WEB_HOST.match(s)
+    return m[1] + ascii_host(m[2]) + s[m.end() :] if m and not m[2].isascii() else address
+
+
 def remove_dot_segments(path: Column) -> Column:
     """RFC 3986 section 5.2.4 over an absolute path; a trailing '.' or '..' keeps its slash."""
     segments = F.slice(F.split(path, "/", -1), 2, 100_000)
@@ -228,7 +250,8 @@ def link_target(
 
 
 def link_targets(base: Column, hrefs: Column, stay_in_domain: Column, scope_host: Column) -> Column:
-    """link_target of every element of an array, without what is no target; hosts outside ASCII are left out."""
+    """link_target of every element of an array, without what is no target; hosts outside ASCII
+    are left out, so give them in punycode (ascii_address, ascii_host)."""
     b = F.struct(
         strip(base).alias("base"),
         F.coalesce(F.nullif(scope_host, F.lit("")), url_host(F.lower(strip(base)))).alias("boundary"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
 
@@ -240,7 +240,7 @@ _DDL = (
 def _page(html: str | None) -> tuple:
     try:
         root = parse(html or "")
-        title, about, meta, hrefs = title_of(root), description_of(root), metadata_of(root), hrefs_of(root)
+        title, about, meta, hrefs = title_of(root), description_of(root), metadata_of(root), [urls.ascii_address(h) for h in hrefs_of(root)]
         strip_boilerplate(root)
         body = body_of(root).flat(" ")
         return title, about, list(meta.items()), hrefs, language_of(root, body[:SAMPLE]), body, raw_markdown(root), None
@@ -248,8 +248,10 @@ def _page(html: str | None) -> tuple:
         return "", "", [], [], "", "", "", str(e)[:200]
 
 
-def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """All columns of pages but the html, and the fields of each page."""
+def extract(pages: DataFrame, html_col: str = "html", punycode: dict[str, Callable] | None = None) -> DataFrame:
+    """All columns of pages but the html, and the fields of each page; links have their hosts in punycode.
+    punycode: string columns to go through ascii_address or ascii_host in the same stage."""
+    punycode = punycode or {}
     kept = [f for f in pages.schema.fields if f.name != html_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +259,9 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 cols = list(zip(*map(_page, part.column(html_col).to_pylist())))
-                arrays = [part.column(f.name) for f in kept] + [pa.array(c, t) for c, (_, t) in zip(cols, _FIELDS)]
+                given = [(f.name, part.column(f.name)) for f in kept]
+                given = [pa.array([x and punycode[n](x) for x in c.to_pylist()], pa.string()) if n in punycode else c for n, c in given]
+                arrays = given + [pa.array(c, t) for c, (_, t) in zip(cols, _FIELDS)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept] + [n for n, _ in _FIELDS])
 
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [_DDL])
@@ -265,7 +269,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def links(base: Column, hrefs: Column, stay: Column, scope: Column) -> Column:
-    """The distinct crawlable links of a page, without itself, in code point order."""
+    """The distinct crawlable links of a page, without itself, in code point order; hosts in punycode."""
     own = urls.canonicalize(base, idn=False)
     found = F.array_distinct(urls.link_targets(base, hrefs, stay, scope))
     return F.array_sort(F.array_except(found, F.array(own)))
@@ -274,8 +278,11 @@ def links(base: Column, hrefs: Column, stay: Column, scope: Column) -> Column:
 def documents(pages: DataFrame) -> DataFrame:
     """ParsedDocument rows (before content dedup) of raw pages, with fingerprint, language and metadata.
 
-    Links with hosts outside ASCII go through the punycode step apart, so that other pages never do."""
-    e = extract(pages.withColumn("raw_html_bytes", F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")))
+    Hosts outside ASCII, of links, of the page's address and of its scope, become punycode in the stage that
+    parses the page."""
+    sized = pages.withColumn("raw_html_bytes", F.coalesce(F.octet_length("html"), F.lit(0)).cast("long"))
+    sized = sized.withColumns({"_base": F.col("url"), "_scope": F.col("scope_host")})
+    e = extract(sized, punycode={"_base": urls.ascii_address, "_scope": urls.ascii_host})
     md = text.clean_markdown(F.col("raw_markdown"))
     fp_text = text.normal(F.col("body_text"))
     return (
@@ -287,9 +294,9 @@ def documents(pages: DataFrame) -> DataFrame:
         .withColumn("token_savings_pct", text.savings_pct(F.col("markdown_bytes"), F.col("raw_html_bytes")))
         .withColumn(
             "extracted_links",
-            links(F.col("url"), F.col("hrefs"), F.col("stay_in_domain"), F.col("scope_host")),
+            links(F.col("_base"), F.col("hrefs"), F.col("stay_in_domain"), F.col("_scope")),
         )
-        .drop("raw_markdown", "body_text", "hrefs")
+        .drop("raw_markdown", "body_text", "hrefs", "_base", "_scope")
     )
 
 

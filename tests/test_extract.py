@@ -3,9 +3,11 @@ import json
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from millrace.functions.dom import parse
 from millrace.operators import extract as ex
+from millrace.operators import submit
 
 PAGE = "job_id string, page_id long, url string, html string, stay_in_domain boolean, scope_host string, depth int, max_depth int, fetched_at long"
 
@@ -142,3 +144,17 @@ def test_empty_table(spark):
 
 def test_deep_markup_does_not_fail(spark):
     assert ex.documents(rows(spark, "<div>" * 3000 + "deep")).first().text_sample == "deep"
+
+
+def test_links_to_hosts_outside_ascii(spark):
+    html = "<a href='https://Bücher.example/a'>a</a><a href=' //münze.test:8080/b?q=ü#x'>b</a><a href='/c'>c</a><a href='https://u@a.test/d'>d</a><a href='https://ü..b/'>e</a><a href='/p'>self</a>"
+    page = rows(spark, html)
+    outside = ["http://xn--mnze-0ra.test:8080/b?q=ü", "https://a.test/d", "https://xn--bcher-kva.example/a"]
+    own = page.withColumn("url", F.lit("http://münze.test/p"))
+    got = ex.documents(own).first()
+    assert got.extracted_links == sorted([*outside, "http://xn--mnze-0ra.test/c"]) and got.url == "http://münze.test/p"
+    for scope in (None, "", "münze.test", "xn--mnze-0ra.test"):
+        stay = own.withColumns({"stay_in_domain": F.lit(True), "scope_host": F.lit(scope).cast("string")})
+        assert ex.documents(stay).first().extracted_links == ["http://xn--mnze-0ra.test/c", outside[0]]
+    children = submit.children(ex.documents(own.withColumns({"depth": F.lit(0), "max_depth": F.lit(1)})))
+    assert {r.url for r in children.collect()} == {*outside, "http://xn--mnze-0ra.test/c"}
