@@ -123,7 +123,8 @@ _ROWS = "tab string, rec_id long, score array<float>, key array<long>, md5 array
 
 def scored(df: DataFrame, tab: str, id_col: str, text_col: str, kind: str, extra=None, hashes: bool = True, judge=None) -> DataFrame:
     """One row for each page: scores, keys and md5 of its units in order; key 0 for units above 200
-    characters. extra: from the units of many pages in one list, the bytes to keep with each. judge: for
+    characters. extra: from the units (of html: their texts to be shown) of many pages in one list, the bytes to
+    keep with each; pages without any unit come out as well then. judge: for
     html, a test of the text of the content (labels without site counts) and of noscript elements, kept as
     `failed`; pages without any unit come out as well then."""
     shared = df.sparkSession.sparkContext.broadcast(Model.load())
@@ -139,7 +140,8 @@ def scored(df: DataFrame, tab: str, id_col: str, text_col: str, kind: str, extra
                     host, bad = host or "", False
                     name = site_word(host)
                     if kind == "html":
-                        units = html_units(page, noscript=judge is not None)
+                        shown: list[str] | None = [] if extra else None
+                        units = html_units(page, noscript=judge is not None, shown=shown)
                         quiet = [u[0] for u in units if "noscript" in u[1]]
                         units = [u for u in units if "noscript" not in u[1]] if quiet else units
                         texts = [u[0] for u in units]
@@ -151,7 +153,7 @@ def scored(df: DataFrame, tab: str, id_col: str, text_col: str, kind: str, extra
                         units = markdown_units(page)
                         texts = [u[1] for u in units]
                         score = model.score_markdown(units, name)
-                    if not texts and not judge:
+                    if not texts and not judge and not extra:
                         continue
                     cols[5].append(bad)
                     named = page_title(units, kind)
@@ -161,7 +163,7 @@ def scored(df: DataFrame, tab: str, id_col: str, text_col: str, kind: str, extra
                     cols[2].append([unit_key(host, t) if len(t) < 200 else 0 for t in texts])
                     cols[3].append([hashlib.md5(t.encode("utf-8", "replace")).digest() for t in texts] if hashes else [])
                     if extra:
-                        every += units
+                        every += shown[: len(units)] if kind == "html" else units
                 if extra:
                     kept, k = extra(every), 0
                     for score in cols[1]:
@@ -258,7 +260,27 @@ def boilerplate_units(parsed: DataFrame, raw: DataFrame, without: DataFrame | No
 def main_text(parsed: DataFrame) -> DataFrame:
     """(parsed_id, text): the lines of each document's own content, in order."""
     rows = with_counts(written(scored(parsed, "parsed_documents", "parsed_id", "markdown", "md", hashes=False, extra=_line_no)))
-    bad = decode(rows, _bad_lines, "parsed_id long, line_no int").groupBy("parsed_id").agg(F.collect_list("line_no").alias("drop"))
+    return _without_lines(parsed, decode(rows, _bad_lines, "parsed_id long, line_no int"))
+
+
+def main_texts(parsed: DataFrame, raw: DataFrame) -> DataFrame:
+    """(tab, rec_id, text) over both tables, with the labels of boilerplate_units: the lines of each
+    document's own content, and the units of each page's own content, one a line, in order. Null stays
+    null; a page without content of its own gives ''."""
+    rows = scored(parsed, "parsed_documents", "parsed_id", "markdown", "md", hashes=False, extra=_line_no).unionByName(
+        scored(raw, "raw_pages", "page_id", "html", "html", hashes=False, extra=_utf8)
+    )
+    found = written(decode(with_counts(written(rows)), _own_text, "tab string, rec_id long, line_no int, text string"))
+    bad = found.filter("tab = 'parsed_documents'").select(F.col("rec_id").alias("parsed_id"), "line_no")
+    docs = _without_lines(parsed, bad).select(F.lit("parsed_documents").alias("tab"), F.col("parsed_id").alias("rec_id"), "text")
+    pages = found.filter("tab = 'raw_pages'").select("tab", "rec_id", "text")
+    blank = raw.filter("html is null or html = ''").select(F.lit("raw_pages").alias("tab"), F.col("page_id").alias("rec_id"), F.col("html").alias("text"))
+    return docs.unionByName(pages).unionByName(blank)
+
+
+def _without_lines(parsed: DataFrame, bad: DataFrame) -> DataFrame:
+    """(parsed_id, text): the markdown of parsed without the lines (parsed_id, line_no) of bad."""
+    bad = bad.groupBy("parsed_id").agg(F.collect_list("line_no").alias("drop"))
     gone = F.coalesce("drop", F.array().cast("array<int>"))
     lines = F.split(F.col("markdown"), "\n", -1)
     return parsed.select("parsed_id", "markdown").join(bad, "parsed_id", "left").select(
@@ -272,3 +294,13 @@ def _line_no(units: list) -> list[bytes]:
 
 def _bad_lines(tab, rec, md5, extra, labels):
     return [(rec, int(x)) for x, y in zip(extra, labels) if y]
+
+
+def _utf8(texts: list[str]) -> list[bytes]:
+    return [t.encode("utf-8", "replace") for t in texts]
+
+
+def _own_text(tab, rec, md5, extra, labels):
+    if tab == "parsed_documents":
+        return [(tab, rec, line, None) for _, line in _bad_lines(tab, rec, md5, extra, labels)]
+    return [(tab, rec, None, "\n".join(x.decode() for x, y in zip(extra, labels) if not y))]

@@ -41,7 +41,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_main_text(spark: SparkSession, d: str) -> DataFrame:
-    return boilerplate.main_text(_parsed(spark, d))
+    """(tab, rec_id, text) over parsed_documents.markdown and raw_pages.html."""
+    return boilerplate.main_texts(_parsed(spark, d), table(spark, d, "raw_pages"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -20,10 +20,12 @@ _PART = re.compile(r"[a-z]{3,}")
 _ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in _SKIP}
 
 
-def html_units(page: str, noscript: bool = False) -> list[tuple[str, tuple[str, ...], float]]:
+def html_units(page: str, noscript: bool = False, shown: list[str] | None = None) -> list[tuple[str, tuple[str, ...], float]]:
     """(tidy text, ancestors from the outside in as tags and class words, share of letters in links) of
     every unit with a letter, in order. With noscript=True, the text of noscript elements comes as units
-    whose last ancestor is 'noscript'. Broken markup is read as far as it goes; nothing raises."""
+    whose last ancestor is 'noscript'. shown gets the text of each unit to be shown: lines of pre are kept,
+    and text without a letter is put to the unit before it (at the start, to the first). Broken markup is
+    read as far as it goes; nothing raises."""
     out: list[tuple[str, tuple[str, ...], float]] = []
     text: list[str] = []
     linked = 0
@@ -37,7 +39,14 @@ def html_units(page: str, noscript: bool = False) -> list[tuple[str, tuple[str,
             whole = "".join(text)
             if "&" in whole:
                 whole = html.unescape(whole)
+            lines = whole.strip("\r\n").rstrip() if shown is not None and any(t == "pre" for t, _ in stack) else ""
             whole = " ".join(whole.split())
+            if shown is not None and whole:
+                # One text more than units: what stood before the first unit.
+                if not shown or (len(shown) == len(out) and LETTER.search(whole)):
+                    shown.append(lines or whole)
+                else:
+                    shown[-1] += "\n" + (lines or whole)
             if LETTER.search(whole):
                 anc = tuple(x for t, k in stack for x in ((t, *k.split()) if k else (t,)))
                 out.append((whole, anc, min(1.0, linked / len(whole))))

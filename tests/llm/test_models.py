@@ -106,6 +106,20 @@ def test_main_content_of_pages(spark):
     assert "All rights" not in text[0] and "Paragraph 3" in text[0] and text[90] is None and len(text) == 7
 
 
+def test_main_text_of_both_tables(spark):
+    html = PAGE.replace("</article>", "<pre>\nif a:\n    b()\n</pre><table><tr><td>Year</td><td>1987</td></tr></table></article>")
+    parsed = spark.createDataFrame([(1, "https://news.example/1", "# On bridges\n\nThe old bridge was repaired."), (2, None, None)], "parsed_id long, url string, markdown string")
+    pages = [(1, html), (2, None), (3, ""), (4, "<p>12"), (5, "<p>12</p>")]
+    raw = spark.createDataFrame([(i, "https://news.example/", t) for i, t in pages], "page_id long, url string, html string")
+    got = {(r.tab, r.rec_id): r.text for r in boilerplate.main_texts(parsed, raw).collect()}
+    assert set(got) == {("parsed_documents", k) for k in (1, 2)} | {("raw_pages", k) for k in range(1, 6)}
+    text = got["raw_pages", 1]
+    assert "On bridges" in text and "About us" not in text and "if a:\n    b()" in text and "1987" in text
+    assert got["raw_pages", 2] is None and got["raw_pages", 3] == "" and got["parsed_documents", 2] is None
+    shown = []
+    assert len(units.html_units("<p>1<p>One<p>2<p>Two", shown=shown)) == 2 and shown == ["1\nOne\n2", "Two"]
+
+
 # --- language
 
 
