@@ -95,7 +95,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    return site_lines.cleaned(_parsed(spark, d), "parsed_id", "markdown", "url")
+    """Without every line that p6_found lists."""
+    return site_lines.cleaned(_parsed(spark, d), "parsed_id", "markdown", "url", every=True, without=failed_and_spam(spark, d))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

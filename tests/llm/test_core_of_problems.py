@@ -136,6 +136,15 @@ def test_excess_is_tested_against_other_sites(spark):
     assert text[0] == ("all sites share this line", 1) and text[100][1] == 0
 
 
+def test_every_recurring_line_is_taken_out(spark):
+    rows = [(k, "all sites share this line\nonly here is this line\nthe text itself", f"https://{'abcd'[k % 4]}.test/") for k in range(18)]
+    df = spark.createDataFrame(rows, "parsed_id long, markdown string, url string")
+    df = df.withColumn("markdown", F.concat("markdown", F.lit(" of "), F.translate(F.col("parsed_id").cast("string"), "0123456789", "abcdefghij")))
+    without = spark.createDataFrame([(0,)], "parsed_id long")
+    got = {r.parsed_id: r.lines_removed for r in site_lines.cleaned(df, "parsed_id", "markdown", "url", every=True, without=without).collect()}
+    assert got == {k: 2 if k % 4 == 1 else 0 for k in range(18)}
+
+
 def test_p_value(spark):
     df = spark.createDataFrame([(0.0,), (3.841459,), (6.634897,)], "g double")
     got = [r[0] for r in df.select(site_lines.p_value(F.col("g"))).collect()]
