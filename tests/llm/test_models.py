@@ -241,6 +241,16 @@ def test_short_link_lists(spark):
     assert spam.curves(df, samples(spark)).count() == len(rows)
 
 
+def test_no_jump_with_the_pages_of_a_language(spark):
+    def off(n):
+        rows = [(k, "en", 100 + k, -0.5, 0.1, 1.0) for k in range(600)] + [(1000 + k, "fa", 100 + 3 * k, -0.5, 0.1, 3.0) for k in range(n)]
+        df = spark.createDataFrame(rows, "id long, lang string, n_tokens long, slope double, residual double, divergence double")
+        return spam.deviations(df).filter("id = 1000").first().divergence_off
+
+    few, below, above, many = off(5), off(199), off(201), off(3000)
+    assert abs(below - above) < 0.05 and few > below > abs(many) and abs(many) < 0.05
+
+
 def test_curve_is_that_of_the_page(spark):
     text = " ".join("a" for _ in range(40)) + " " + " ".join("b" for _ in range(20)) + " " + " ".join(f"c{k}" for k in range(10))
     df = spark.createDataFrame([(1, text, [])], "parsed_id long, markdown string, extracted_links array<string>")
