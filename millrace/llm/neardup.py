@@ -1,20 +1,26 @@
 """Near-duplicate records: bottom-k sketches from one hash function.
 
-Every document is the set of 64-bit hashes of its shingles, sorted: its head is the bottom-k sketch. For
-the candidate search the hash range is cut into 2**s equal strata and each keeps its own smallest values;
-an inverted list is kept for each tuple of the r smallest values of a stratum (r = 3, or 2 where strata
-are few), because the list of a single common value would hold a tenth of all documents. Two sets of
-similarity j agree on one tuple with probability about j**r, on some tuple out of all almost surely. Small
-sets have too few tuples for that: pairs whose smaller set has at most SHORT values meet in lists for a
-value and the two sizes, filled from the first values of each set that two sets of these sizes and the
-threshold's overlap cannot both miss, and are not sampled, so none of them is lost. A pair from a list is dropped at once if 256 one-bit samples of the two sets rule the similarity out; what
-is left is estimated on the bottom-k sketch of the union, and verified by exact Jaccard on the full sets.
-Each of these steps carries only what it needs: keys and ids first (most keys have one document and end
-there), then samples, then sketches, and full sets for the few pairs that remain.
+Every document is the set of 64-bit hashes of its shingles, sorted; its RETAINED smallest values are its
+sketch. An inverted list is kept for each retained value. A list of more than SPLIT documents is split by the
+value that follows the retained one in each document's set, and its parts again, up to DEPTH values: two sets
+of similarity j share a retained value with probability j, and the r values of a split list with about j**r.
+So no list that is gathered holds more than SPLIT documents, whatever the size of the table or of its hot
+values, and the number of candidates for each document does not grow with the table. What is still longer
+after DEPTH values is paired in blocks of BLOCK documents, without loss.
+
+The lists generate overlaps: how many lists a pair shares. A pair is dropped if 256 one-bit samples of the
+two sets rule the similarity out, or the bottom-k sketch of their union does; exact Jaccard on the full sets
+verifies the few that are left. Each of these steps carries only what it needs: values and ids, then samples,
+then sketches, and full sets for the pairs that remain.
+
+A small set retains too few values for that: pairs whose smaller set has at most SHORT values meet in lists for
+a value and the two sizes, filled from the first values of each set that two sets of these sizes and the
+threshold's overlap cannot both miss, and are neither sampled nor split (long ones are paired in blocks), so
+none of them is lost.
 
 Documents with equal sets are one class; lists hold only the first of each class, so a text copied over
-a third of all rows costs nothing. No list, candidate or partner is capped: pairs come from an
-equi-join on the tuple, whose large keys the adaptive skew join splits.
+a third of all rows costs nothing. No list, candidate or partner is capped. Values that are in more than one in
+HOT of all postings (so at most HOT values) never meet a shuffle by value: they are known to be long lists.
 
 Defined results: null, empty and short texts (fewer than min_words words) belong to no pair and are
 classes of their own; rows repeated with their id are one record (with different texts under one id, any
@@ -26,6 +32,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +43,14 @@ from pyspark.sql import functions as F
 from millrace.session import spread, written
 
 WORD = re.compile(r"[^\W_]+")
-SKETCH = 64
 SAMPLES = 256
+#: Values of a set in its sketch, and of these the ones that have inverted lists.
+SKETCH, RETAINED = 64, 48
+#: Documents above which a list is split by the next value; values up to which it is split; documents of a
+#: block of a list that is longer still.
+SPLIT, DEPTH, BLOCK = 4, 6, 1000
+#: Values in more than one in HOT postings (under HOT of them by arithmetic) are sent to every task.
+HOT = 20_000
 #: Values of the smaller set up to which pairs are found exactly.
 SHORT = 32
 _SAMPLES = np.arange(SAMPLES, dtype=np.uint64) << np.uint64(56)
@@ -69,25 +82,6 @@ class Shingler:
         return len(words), np.unique(h ^ (h >> np.uint64(31)))
 
 
-def _tuple_keys(u: np.ndarray) -> np.ndarray:
-    """Keys of the inverted lists of one set, of the two numbers of strata next to a fifth of its size."""
-    n = len(u)
-    top = min(9, max(4, int(n // 5).bit_length() - 1))
-    out = []
-    for s in (top, top - 1):
-        edges = np.arange(1 << s, dtype=np.uint64) << np.uint64(64 - s)
-        first = np.searchsorted(u, edges)
-        size = np.diff(first, append=n)
-        r = 3 if s >= 5 else 2
-        first = first[size >= r]
-        key = np.full(len(first), s, dtype=np.uint64)
-        for j in range(r):
-            key = (key ^ u[first + j]) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(32)
-        out.append(key)
-    return np.concatenate(out).view(np.int64)
-
-
 def _short_keys(u: np.ndarray, threshold: float) -> np.ndarray:
     """Keys of the lists for a value and two sizes: sets of n and m values at the threshold share o, so the
     least of what they share is among the first n - o + 1 values of the one and m - o + 1 of the other."""
@@ -114,34 +108,39 @@ def _samples(u: np.ndarray) -> np.ndarray:
 
 
 def _prepare(df: DataFrame, id_col: str, text_col: str, shingle: int, min_words: int, threshold: float) -> DataFrame:
+    def lists(arrays: list[np.ndarray]) -> pa.Array:
+        at = np.concatenate([[0], np.cumsum([len(a) for a in arrays], dtype=np.int64)]).astype(np.int32)
+        flat = np.concatenate(arrays) if arrays else np.empty(0, dtype=np.int64)
+        return pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                rows = []
+                rows, sketches, shorts = [], [], []
                 for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     n, u = shingler(t)
                     if n >= min_words and len(u):
-                        head = (u[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes()
-                        keys = np.concatenate([_tuple_keys(u), _short_keys(u, threshold)])
-                        rows.append((i, len(u), xxhash.xxh128_digest(u.tobytes()), *_samples(u).tolist(), head, keys))
-                cols = list(zip(*rows)) if rows else [[]] * 9
+                        sketches.append(u[:SKETCH])
+                        shorts.append(_short_keys(u, threshold))
+                        rows.append((i, len(u), xxhash.xxh128_digest(u.tobytes()), *_samples(u).tolist()))
+                cols = list(zip(*rows)) if rows else [[]] * 7
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(cols[0], pa.int64()),
                         pa.array(cols[1], pa.int32()),
                         pa.array(cols[2], pa.binary()),
                         *(pa.array(c, pa.int64()) for c in cols[3:7]),
-                        pa.array(cols[7], pa.binary()),
-                        pa.array(cols[8], pa.list_(pa.int64())),
+                        lists(sketches),
+                        lists(shorts),
                     ],
-                    names=["id", "n", "same", "s1", "s2", "s3", "s4", "head", "keys"],
+                    names=["id", "n", "same", "s1", "s2", "s3", "s4", "sketch", "shorts"],
                 )
 
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).filter("id is not null")
     return spread(source).mapInArrow(
-        run, "id long, n int, same binary, s1 long, s2 long, s3 long, s4 long, head binary, keys array<long>"
+        run, "id long, n int, same binary, s1 long, s2 long, s3 long, s4 long, sketch array<long>, shorts array<long>"
     )
 
 
@@ -173,18 +172,27 @@ def _estimated(pairs: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            (x, at), (y, to) = (
+                (batch.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum([0, *batch.column(c).value_lengths().to_pylist()]))
+                for c in (2, 3)
+            )
             keep = []
-            for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                low, high = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
-                union = np.union1d(low, high)[:SKETCH]
-                shared = np.isin(union, low) & np.isin(union, high)
-                slack = 4.5 * (threshold * (1 - threshold) / len(union)) ** 0.5
-                if shared.mean() >= threshold - slack:
+            for k in range(batch.num_rows):
+                low, high = x[at[k] : at[k + 1]], y[to[k] : to[k + 1]]
+                both = np.sort(np.concatenate([low, high]))
+                twice = both[1:] == both[:-1]
+                union = len(both) - int(twice.sum())
+                size = min(SKETCH, union)
+                # The value that ends the sketch of the union, and the shared values up to it.
+                last = both[np.flatnonzero(np.append(True, ~twice))[size - 1]]
+                shared = int(np.searchsorted(both[1:][twice], last, side="right"))
+                slack = 4.5 * (threshold * (1 - threshold) / size) ** 0.5
+                if shared / size >= threshold - slack:
                     keep.append(k)
             kept = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
-    return pairs.select("a", "b", "head_a", "head_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -204,6 +212,54 @@ def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, jaccard double")
 
 
+def _pairs_of_lists(lists: DataFrame) -> DataFrame:
+    """(a, b), a < b, within each list (key, id) of at most SPLIT documents."""
+    ids = F.array_sort("ids")
+    first = F.transform(ids, lambda x, i: F.transform(F.slice(ids, i + 2, SPLIT), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+    gathered = lists.groupBy("key").agg(F.collect_set("id").alias("ids"))
+    return gathered.select(F.explode(F.flatten(first)).alias("p")).select("p.a", "p.b")
+
+
+def _pairs_in_blocks(lists: DataFrame, counts: DataFrame) -> DataFrame:
+    """(a, b), a < b, within each list (key, id) of any length; counts: (key, c). A list of c documents falls into
+    c / BLOCK blocks, and each pair of blocks is one group of the join."""
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    rows = lists.join(counts, "key").select("key", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = rows.select("key", "id", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    x, y = rows.alias("x"), rows.alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "low", "high")]
+    across = (F.col("x.low") == F.col("x.high")) | (F.col("x.own") != F.col("y.own"))
+    return x.join(y, [*same, F.col("x.id") < F.col("y.id"), across]).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def overlaps(heads: DataFrame) -> DataFrame:
+    """(a, b, overlaps): pairs of documents that share a list, and how many. heads: (id, n, sketch, shorts), written."""
+    shorts = heads.select("id", F.explode("shorts").alias("key"))
+    short_counts = shorts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    found = [_pairs_in_blocks(shorts, short_counts)]
+    large = heads.filter(F.col("n") > SHORT).select("id", "n", "sketch")
+    # Places of each document's sketch whose lists are to be read at this depth: all, then those of long lists.
+    live = large.withColumn("places", F.sequence(F.lit(1), F.least("n", F.lit(RETAINED))))
+    for depth in range(1, DEPTH + 1):
+        posts = live.select("id", "sketch", F.explode("places").alias("place"))
+        posts = posts.select("id", "place", F.xxhash64(F.lit(depth), F.slice("sketch", F.col("place"), F.lit(depth))).alias("key"))
+        counts = written(posts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
+        if depth == DEPTH:
+            found.append(_pairs_in_blocks(posts.select("key", "id"), counts))
+            break
+        total = counts.agg(F.sum("c")).first()[0] or 0
+        hot = F.broadcast(counts.filter(F.col("c") > max(SPLIT, total // HOT)).select("key"))
+        rest = posts.join(hot, "key", "left_anti").join(counts, "key")
+        found.append(_pairs_of_lists(rest.filter(F.col("c") <= SPLIT).select("key", "id")))
+        long = rest.filter(F.col("c") > SPLIT).select("id", "place").unionByName(posts.join(hot, "key", "left_semi").select("id", "place"))
+        places = written(long.groupBy("id").agg(F.collect_list("place").alias("places")))
+        if places.isEmpty():
+            break
+        live = large.join(places, "id")
+    return reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlaps"))
+
+
 def near_duplicates(
     df: DataFrame,
     id_col: str,
@@ -227,26 +283,19 @@ def near_duplicates(
     # The first of each class; rows without twins never meet a join.
     later = membership.filter("id <> class_id").select("id")
     heads = prepared.join(later, "id", "left_anti")
-    postings = heads.select("id", F.explode("keys").alias("key"))
-    # Keys of one document end here. Counted with map-side combine, so that no list is gathered anywhere.
-    lists_of = postings.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key")
-    shared = postings.join(lists_of, "key", "left_semi").select("id", "key")
-    lists = written(shared.join(prepared.select("id", "n", "s1", "s2", "s3", "s4"), "id"))
-    x, y = lists.alias("x"), lists.alias("y")
-    apart = F.expr(" + ".join(f"bit_count(x.s{k} ^ y.s{k})" for k in range(1, 5)))
+    pairs = overlaps(heads)
     # Expected share of differing bits at the threshold, and 4.5 standard deviations of it, by the
     # number of strata that are not empty in the smaller set.
+    samples = prepared.select("id", F.array("n", "s1", "s2", "s3", "s4").alias("bits"))
+    pairs = _sets_of(pairs.select("a", "b"), samples, "bits")
+    bits = lambda k: (F.col("bits_a")[k], F.col("bits_b")[k])
+    apart = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in map(bits, range(1, 5))), F.lit(0))
     p = (1 - threshold) / 2
-    small = F.least("x.n", "y.n").cast("double")
+    small, large = F.least(*bits(0)).cast("double"), F.greatest(*bits(0)).cast("double")
     filled = SAMPLES * (1 - F.exp(-small / SAMPLES))
     may = SAMPLES * (p + 4.5 * F.sqrt(F.lit(p * (1 - p)) / filled))
-    ratio = small >= F.greatest("x.n", "y.n") * threshold - 1e-9
-    candidates = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & ratio & ((small <= SHORT) | (apart <= may)))
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        .distinct()
-    )
-    likely = written(_estimated(_sets_of(candidates, prepared.select("id", "head"), "head"), threshold).distinct())
+    pairs = pairs.filter((small >= large * threshold - 1e-9) & ((small <= SHORT) | (apart <= may))).select("a", "b")
+    likely = written(_estimated(_sets_of(pairs, prepared.select("id", "sketch"), "sketch"), threshold).distinct())
     ends = likely.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()
     texts = df.select(F.col(id_col).cast("long").alias(id_col), text_col).join(ends, id_col, "left_semi")
     sets = _sets(texts, id_col, text_col, shingle).dropDuplicates(["id"])
