@@ -5,8 +5,9 @@ sketch. An inverted list is kept for each retained value. A list of more than SP
 value that follows the retained one in each document's set, and its parts again, up to DEPTH values: two sets
 of similarity j share a retained value with probability j, and the r values of a split list with about j**r.
 So no list that is gathered holds more than SPLIT documents, whatever the size of the table or of its hot
-values, and the number of candidates for each document does not grow with the table. What is still longer
-after DEPTH values is paired in blocks of BLOCK documents, without loss.
+values, and the number of candidates from them does not grow with the table. What shares all DEPTH values (large
+groups of near copies, mostly) is paired in blocks of BLOCK documents, without loss, where the samples below are
+compared at once, so that it gives few candidates.
 
 The lists generate overlaps: how many lists a pair shares. A pair is dropped if 256 one-bit samples of the
 two sets rule the similarity out, or the bottom-k sketch of their union does; exact Jaccard on the full sets
@@ -37,7 +38,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.session import spread, written
@@ -48,7 +49,7 @@ SAMPLES = 256
 SKETCH, RETAINED = 64, 48
 #: Documents above which a list is split by the next value; values up to which it is split; documents of a
 #: block of a list that is longer still.
-SPLIT, DEPTH, BLOCK = 4, 6, 1000
+SPLIT, DEPTH, BLOCK = 4, 3, 1000
 #: Values in more than one in HOT postings (under HOT of them by arithmetic) are sent to every task.
 HOT = 20_000
 #: Values of the smaller set up to which pairs are found exactly.
@@ -93,8 +94,8 @@ def _short_keys(u: np.ndarray, threshold: float) -> np.ndarray:
     out = []
     for m in range(low, high + 1):
         shared = max(1, math.ceil(threshold * (n + m) / (1 + threshold) - 1e-9))
-        sizes = np.uint64(min(n, m) << 20 | max(n, m))
-        key = (u[: n - shared + 1] ^ (sizes * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)
+        sizes = np.uint64((min(n, m) << 20 | max(n, m)) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)
+        key = (u[: n - shared + 1] ^ sizes) * np.uint64(0x9E3779B97F4A7C15)
         out.append(key ^ (key >> np.uint64(32)))
     return np.concatenate(out).view(np.int64)
 
@@ -220,44 +221,62 @@ def _pairs_of_lists(lists: DataFrame) -> DataFrame:
     return gathered.select(F.explode(F.flatten(first)).alias("p")).select("p.a", "p.b")
 
 
-def _pairs_in_blocks(lists: DataFrame, counts: DataFrame) -> DataFrame:
-    """(a, b), a < b, within each list (key, id) of any length; counts: (key, c). A list of c documents falls into
-    c / BLOCK blocks, and each pair of blocks is one group of the join."""
+def _may(x: Column, y: Column, threshold: float) -> Column:
+    """Whether two sets with these sizes and samples (n, s1 to s4) can be similar enough: at the threshold a share
+    p of the bits differs, and 4.5 standard deviations of it, by the strata that are not empty in the smaller
+    set, are let through. Small sets are judged by their sizes alone."""
+    apart = sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(1, 5)), F.lit(0))
+    small, large = F.least(x[0], y[0]).cast("double"), F.greatest(x[0], y[0]).cast("double")
+    p = (1 - threshold) / 2
+    filled = SAMPLES * (1 - F.exp(-small / SAMPLES))
+    bound = SAMPLES * (p + 4.5 * F.sqrt(F.lit(p * (1 - p)) / filled))
+    return (small >= large * threshold - 1e-9) & ((small <= SHORT) | (apart <= bound))
+
+
+def _pairs_in_blocks(lists: DataFrame, counts: DataFrame, samples: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b, of the pairs that may be similar within each list (key, id) of any length; counts: (key, c).
+    A list of c documents falls into c / BLOCK blocks, and each pair of blocks is one group of the join."""
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    rows = lists.join(counts, "key").select("key", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    rows = rows.select("key", "id", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    rows = lists.join(counts, "key").join(samples, "id")
+    rows = rows.select("key", "id", "bits", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = rows.select("key", "id", "bits", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     x, y = rows.alias("x"), rows.alias("y")
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "low", "high")]
     across = (F.col("x.low") == F.col("x.high")) | (F.col("x.own") != F.col("y.own"))
-    return x.join(y, [*same, F.col("x.id") < F.col("y.id"), across]).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    on = [*same, F.col("x.id") < F.col("y.id"), across, _may(F.col("x.bits"), F.col("y.bits"), threshold)]
+    return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
-def overlaps(heads: DataFrame) -> DataFrame:
-    """(a, b, overlaps): pairs of documents that share a list, and how many. heads: (id, n, sketch, shorts), written."""
+def overlaps(heads: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, overlaps): pairs of documents that may be similar by size and samples, and how many lists they
+    share. heads: (id, n, s1 to s4, sketch, shorts), written."""
+    samples = heads.select("id", F.array("n", "s1", "s2", "s3", "s4").alias("bits"))
     shorts = heads.select("id", F.explode("shorts").alias("key"))
     short_counts = shorts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    found = [_pairs_in_blocks(shorts, short_counts)]
+    blocks, found = [_pairs_in_blocks(shorts, short_counts, samples, threshold)], []
     large = heads.filter(F.col("n") > SHORT).select("id", "n", "sketch")
     # Places of each document's sketch whose lists are to be read at this depth: all, then those of long lists.
     live = large.withColumn("places", F.sequence(F.lit(1), F.least("n", F.lit(RETAINED))))
     for depth in range(1, DEPTH + 1):
         posts = live.select("id", "sketch", F.explode("places").alias("place"))
         posts = posts.select("id", "place", F.xxhash64(F.lit(depth), F.slice("sketch", F.col("place"), F.lit(depth))).alias("key"))
-        counts = written(posts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
+        counts = posts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
         if depth == DEPTH:
-            found.append(_pairs_in_blocks(posts.select("key", "id"), counts))
+            blocks.append(_pairs_in_blocks(posts.select("key", "id"), counts, samples, threshold))
             break
+        counts = written(counts)
         total = counts.agg(F.sum("c")).first()[0] or 0
         hot = F.broadcast(counts.filter(F.col("c") > max(SPLIT, total // HOT)).select("key"))
         rest = posts.join(hot, "key", "left_anti").join(counts, "key")
         found.append(_pairs_of_lists(rest.filter(F.col("c") <= SPLIT).select("key", "id")))
         long = rest.filter(F.col("c") > SPLIT).select("id", "place").unionByName(posts.join(hot, "key", "left_semi").select("id", "place"))
-        places = written(long.groupBy("id").agg(F.collect_list("place").alias("places")))
-        if places.isEmpty():
-            break
-        live = large.join(places, "id")
-    return reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlaps"))
+        live = large.join(written(long.groupBy("id").agg(F.collect_list("place").alias("places"))), "id")
+    count = F.count(F.lit(1)).alias("overlaps")
+    pairs = _sets_of(reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(count), samples, "bits")
+    pairs = pairs.filter(_may(F.col("bits_a"), F.col("bits_b"), threshold)).select("a", "b", "overlaps")
+    every = pairs.unionByName(reduce(DataFrame.unionByName, blocks).groupBy("a", "b").agg(count))
+    return every.groupBy("a", "b").agg(F.sum("overlaps").alias("overlaps"))
 
 
 def near_duplicates(
@@ -283,18 +302,7 @@ def near_duplicates(
     # The first of each class; rows without twins never meet a join.
     later = membership.filter("id <> class_id").select("id")
     heads = prepared.join(later, "id", "left_anti")
-    pairs = overlaps(heads)
-    # Expected share of differing bits at the threshold, and 4.5 standard deviations of it, by the
-    # number of strata that are not empty in the smaller set.
-    samples = prepared.select("id", F.array("n", "s1", "s2", "s3", "s4").alias("bits"))
-    pairs = _sets_of(pairs.select("a", "b"), samples, "bits")
-    bits = lambda k: (F.col("bits_a")[k], F.col("bits_b")[k])
-    apart = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in map(bits, range(1, 5))), F.lit(0))
-    p = (1 - threshold) / 2
-    small, large = F.least(*bits(0)).cast("double"), F.greatest(*bits(0)).cast("double")
-    filled = SAMPLES * (1 - F.exp(-small / SAMPLES))
-    may = SAMPLES * (p + 4.5 * F.sqrt(F.lit(p * (1 - p)) / filled))
-    pairs = pairs.filter((small >= large * threshold - 1e-9) & ((small <= SHORT) | (apart <= may))).select("a", "b")
+    pairs = overlaps(heads, threshold).select("a", "b")
     likely = written(_estimated(_sets_of(pairs, prepared.select("id", "sketch"), "sketch"), threshold).distinct())
     ends = likely.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()
     texts = df.select(F.col(id_col).cast("long").alias(id_col), text_col).join(ends, id_col, "left_semi")
