@@ -194,6 +194,28 @@ def test_wrong_answers_are_within_theory(spark):
     assert 0 < audited < 2.0**-6 and all(abs(x.audited_rate - x.theoretical_rate) < 0.006 for x in r)
 
 
+def test_ids_far_apart_do_not_end_the_epochs(spark):
+    df = spark.range(4000).select(F.when(F.col("id") == 3999, 10**12).otherwise(F.col("id")).alias("target_id"), F.concat(F.lit("k"), F.col("id") % 1500).alias("k"))
+    r = seen.seen_report(df, "target_id", F.col("k"), epochs=4).orderBy("epoch").collect()
+    assert [x.keys_probed for x in r] == [1000] * 4 and [x.keys_new for x in r] == [1000, 500, 0, 0]
+
+
+def test_a_store_answers_later_batches_from_its_files(spark, tmp_path):
+    batch = lambda lo, hi: spark.range(lo, hi).select(F.col("id").alias("target_id"), F.concat(F.lit("k"), F.col("id") % 6000).alias("k"))
+    where, wrong = str(tmp_path / "store"), 0
+    for no, (lo, hi) in enumerate([(0, 4000), (4000, 8000), (8000, 12000)]):
+        store = seen.Store(where, 10_000, fp_bits=6, shard_rows=2000)
+        got, rates = store.answer(batch(lo, hi), "target_id", F.col("k"), no)
+        truth = {i for i in range(lo, hi) if i >= 6000}
+        said = {r.target_id for r in got.filter("seen").collect()}
+        assert truth <= said and got.count() == hi - lo
+        wrong += len(said - truth)
+        assert abs(rates["audited"] - rates["theoretical"]) < 0.006 and rates["theoretical"] < 2**-6
+    assert 0 < wrong < 150 and store.held(spark) <= 6000
+    again, _ = store.answer(batch(0, 10).union(batch(0, 10)), "target_id", F.col("k"), 3)
+    assert again.filter("seen").count() == 20
+
+
 def test_no_keys(spark):
     df = spark.createDataFrame([(1, None), (2, None)], "target_id long, k string")
     assert seen.seen_before(df, "target_id", F.col("k")).count() == 0
