@@ -23,6 +23,7 @@ DEAD_PREFIXES = ("javascript:", "mailto:", "tel:", "#")
 #: White space as Python's str.strip sees it: Java's \s is ASCII only.
 WS = r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _HOSTPORT = r"^(\[[^\]]*\]|[^:]*)(?::(.*))?$"
+_FOREIGN = r"[^\x00-\x7f]"
 _ABSOLUTE = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
@@ -74,7 +75,8 @@ def ascii_address(address: str | None) -> str | None:
 
 def remove_dot_segments(path: Column) -> Column:
     """RFC 3986 section 5.2.4 over an absolute path; a trailing '.' or '..' keeps its slash."""
-    segments = F.slice(F.split(path, "/", -1), 2, 100_000)
+    parts = F.split(path, "/", -1)
+    segments = F.slice(parts, 2, F.size(parts))
     kept = F.aggregate(
         segments,
         F.array().cast("array<string>"),
@@ -87,62 +89,21 @@ def remove_dot_segments(path: Column) -> Column:
     return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), full).otherwise(path)
 
 
-def _parts(url: Column) -> dict[str, Column]:
-    # Tabs and line ends inside an address are dropped before it is split.
-    s = F.regexp_replace(strip(url), r"[\t\r\n]", "")
-    authority = F.regexp_extract(s, _ABSOLUTE, 2)
-    hostport = F.regexp_replace(authority, r"^.*@", "")
-    return {
-        "text": s,
-        "scheme": F.lower(F.regexp_extract(s, _ABSOLUTE, 1)),
-        "host": F.lower(F.regexp_extract(hostport, r"^(\[[^\]]*\]|[^:]*)(?::(.*))?$", 1)),
-        "port": F.regexp_extract(hostport, r"^(\[[^\]]*\]|[^:]*)(?::(.*))?$", 2),
-        "path": F.regexp_extract(s, _ABSOLUTE, 3),
-        "query": F.regexp_extract(s, _ABSOLUTE, 4),
-    }
+# In steps, each a transform of an array of its own: the planner shares what an expression has in common with itself
+# neither inside conditions nor inside lambdas, and a long chain of patterns would be matched again at every mention.
 
 
-def canonicalize(url: Column, idn: bool = True) -> Column:
-    """The canonical form of a web address, or null.
-
-    http and https with a host only; scheme and host lower-cased; hosts outside ASCII in punycode (with
-    idn=False such rows become null, and no Python runs); default port, credentials, fragment and bare '?'
-    dropped; an empty path becomes '/', dot segments are resolved; the query is kept as it is. Null and
-    empty input give null."""
-    p = _parts(url)
-    port_number = p["port"].try_cast("int")
-    default = F.when(p["scheme"] == "http", F.lit(80)).otherwise(F.lit(443))
-    port = F.when((p["port"] == "") | (port_number == default), F.lit("")).otherwise(
-        F.concat(F.lit(":"), port_number.cast("string"))
-    )
-    foreign = p["host"].rlike(r"[^\x00-\x7f]")
-    host = F.when(foreign, _punycode(F.when(foreign, p["host"])) if idn else F.lit(None).cast("string")).otherwise(
-        p["host"]
-    )
-    path = F.when(p["path"] == "", F.lit("/")).otherwise(remove_dot_segments(p["path"]))
-    query = F.when(p["query"] == "?", F.lit("")).otherwise(p["query"])
-    good = (
-        p["scheme"].isin("http", "https")
-        & (p["host"] != "")
-        & ((p["port"] == "") | (p["port"].rlike("^[0-9]+$") & port_number.between(0, 65535)))
-        & ~p["host"].rlike(r"^[^\[].*[\[\]]|^\[[^\]]*$")
-    )
-    return F.when(good & host.isNotNull(), F.concat(p["scheme"], F.lit("://"), host, port, path, query))
-
-
-# The same in steps for arrays, each step a transform of its own: inside a lambda the planner cannot share what
-# an expression has in common with itself.
-
-
-def _split(url: Column) -> Column:
+def _split(x: Column) -> Column:
     # Tabs and line ends inside an address are dropped before it is split.
-    s = F.regexp_replace(strip(url), r"[\t\r\n]", "")
-    return F.struct(*[F.regexp_extract(s, _ABSOLUTE, k).alias(n) for k, n in ((1, "scheme"), (2, "authority"), (3, "path"), (4, "query"))])
+    s = F.regexp_replace(strip(x["url"]), r"[\t\r\n]", "")
+    fields = ((1, "scheme"), (2, "authority"), (3, "path"), (4, "query"))
+    return F.struct(x["ascii"].alias("ascii"), *[F.regexp_extract(s, _ABSOLUTE, k).alias(n) for k, n in fields])
 
 
 def _refine(p: Column) -> Column:
     hostport = F.regexp_replace(p["authority"], r"^.*@", "")
     return F.struct(
+        p["ascii"].alias("ascii"),
         F.lower(p["scheme"]).alias("scheme"),
         F.lower(F.regexp_extract(hostport, _HOSTPORT, 1)).alias("host"),
         F.regexp_extract(hostport, _HOSTPORT, 2).alias("port"),
@@ -157,7 +118,7 @@ def _compose(p: Column) -> Column:
     port = F.when((p["port"] == "") | (port_number == default), F.lit("")).otherwise(
         F.concat(F.lit(":"), port_number.cast("string"))
     )
-    host = F.when(~p["host"].rlike(r"[^\x00-\x7f]"), p["host"])
+    host = F.when(p["host"].rlike(_FOREIGN), p["ascii"]).otherwise(p["host"])
     path = F.when(p["path"] == "", F.lit("/")).otherwise(remove_dot_segments(p["path"]))
     query = F.when(p["query"] == "?", F.lit("")).otherwise(p["query"])
     good = (
@@ -169,9 +130,33 @@ def _compose(p: Column) -> Column:
     return F.when(good, F.concat(p["scheme"], F.lit("://"), host, port, path, query))
 
 
+def _steps(given: Column) -> Column:
+    """An array of (url, ascii) in parts."""
+    return F.transform(F.transform(given, _split), _refine)
+
+
+def _no_host() -> Column:
+    return F.lit(None).cast("string")
+
+
+def canonicalize(url: Column, idn: bool = True) -> Column:
+    """The canonical form of a web address, or null.
+
+    http and https with a host only; scheme and host lower-cased; hosts outside ASCII in punycode (with
+    idn=False such rows become null, and no Python runs); default port, credentials, fragment and bare '?'
+    dropped; an empty path becomes '/', dot segments are resolved; the query is kept as it is. Null and
+    empty input give null."""
+    known = _no_host()
+    if idn:
+        host = _steps(F.array(F.struct(url.alias("url"), _no_host().alias("ascii"))))[0]["host"]
+        known = _punycode(F.when(url.rlike(_FOREIGN), F.when(host.rlike(_FOREIGN), host)))
+    return F.transform(_steps(F.array(F.struct(url.alias("url"), known.alias("ascii")))), _compose)[0]
+
+
 def canonicalize_all(addresses: Column) -> Column:
     """canonicalize(idn=False) of every element of an array."""
-    return F.transform(F.transform(F.transform(addresses, _split), _refine), _compose)
+    given = F.transform(addresses, lambda u: F.struct(u.alias("url"), _no_host().alias("ascii")))
+    return F.transform(_steps(given), _compose)
 
 
 def url_host(canonical: Column) -> Column:

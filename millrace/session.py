@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables that written has made in this process.
+_WRITTEN: list[str] = []
+
 
 def get_spark(app: str = "millrace", cpus: int | None = None, **conf: str) -> SparkSession:
     """A local session for tests and benches. On a cluster, bring your own session."""
@@ -43,13 +46,15 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: what the session names in spark.checkpoint.dir, else
-    (tests on one machine) a temporary one that is then set for the session."""
+    """The folder all executors share: what the session names in spark.checkpoint.dir. Without one, a session on
+    one machine (tests) gets a temporary folder; on a cluster that would lose data, so it is an error there."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not named:
         named = sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="millrace-")
         sc.setCheckpointDir(named)
     return named
@@ -62,5 +67,17 @@ def written(df: DataFrame) -> DataFrame:
     compressed, so later readers prune columns."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what written has left in the shared folder, once no result is read any more; the number of tables.
+    Works on any file system that Spark knows."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
