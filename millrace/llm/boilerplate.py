@@ -122,8 +122,7 @@ _ROWS = "tab string, rec_id long, score array<float>, key array<long>, md5 array
 
 
 def scored(df: DataFrame, tab: str, id_col: str, text_col: str, kind: str, extra=None, hashes: bool = True, judge=None) -> DataFrame:
-    """One row for each page: scores, keys and md5 of its units in order; key 0 for units above 200
-    characters. extra: from the units (of html: their texts to be shown) of many pages in one list, the bytes to
+    """One row for each page: scores, keys and md5 of its units in order. extra: from the units (of html: their texts to be shown) of many pages in one list, the bytes to
     keep with each; pages without any unit come out as well then. judge: for
     html, a test of the text of the content (labels without site counts) and of noscript elements, kept as
     `failed`; pages without any unit come out as well then."""
@@ -160,7 +159,7 @@ def scored(df: DataFrame, tab: str, id_col: str, text_col: str, kind: str, extra
                     cols[6].append(unit_key(host, named) if named else xxhash.xxh64_intdigest(f"{tab} {i}") - (1 << 63))
                     cols[0].append(i)
                     cols[1].append(score)
-                    cols[2].append([unit_key(host, t) if len(t) < 200 else 0 for t in texts])
+                    cols[2].append([unit_key(host, t) for t in texts])
                     cols[3].append([hashlib.md5(t.encode("utf-8", "replace")).digest() for t in texts] if hashes else [])
                     if extra:
                         every += shown[: len(units)] if kind == "html" else units
@@ -193,8 +192,8 @@ def with_counts(rows: DataFrame) -> DataFrame:
     """rows (written) with `seen`: (place, titles of the site) of each unit that is under several. A unit
     of a third of all pages is one key here: counts are aggregated before the shuffle, and the way back is
     an equi-join that the adaptive skew join splits."""
-    spots = rows.select("tab", "rec_id", F.posexplode("key").alias("place", "k")).filter("k <> 0")
-    once = rows.select("title", F.explode(F.array_distinct("key")).alias("k")).filter("k <> 0").distinct()
+    spots = rows.select("tab", "rec_id", F.posexplode("key").alias("place", "k"))
+    once = rows.select("title", F.explode(F.array_distinct("key")).alias("k")).distinct()
     counts = once.groupBy("k").agg(F.count(F.lit(1)).cast("int").alias("n")).filter("n > 1")
     seen = (
         spots.join(counts, "k")

@@ -3,7 +3,8 @@
 A record falls into passages (sentences and lines, of at most 30 words). Trusted positives are the
 passages of records that a fixed list of well-known error messages or placeholder forms covers; all other
 sampled passages are unlabelled. Naive Bayes starts with the unlabelled ones as negatives and is refined
-by expectation-maximization (a token counts once in a passage): trusted passages keep weight 1, the others take their posterior. The model
+by expectation-maximization (a token counts once in a passage): trusted passages keep weight 1, the others take their posterior
+where their record is residue for the most part, so that messages which no trusted form has are learnt. The model
 is fitted on at most MAX_TRUSTED + MAX_UNLABELLED records, drawn by a hash of the id; every record is
 scored. A record is a case if at least half of the words of its content lie in residue passages. In html
 the content is what the CRF of boilerplate.py keeps, and the text of noscript elements.
@@ -18,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,10 @@ from millrace.llm.boilerplate import scored
 from millrace.session import spread
 
 MAX_TRUSTED, MAX_UNLABELLED, SAMPLE, ROUNDS, SHARE = 1500, 4000, 8000, 6, 0.5
+#: Passages in which the model must have met a word that no trusted passage has, before the word counts.
+LEARNT = 3
+#: A record is trusted if it is shorter than SHORT characters or shows its form within its first OPENING ones.
+SHORT, OPENING = 400, 120
 
 #: Most that one word may say for residue: less than the prior holds against it, so that it takes two
 #: (or one odd form, such as a placeholder).
@@ -86,35 +92,47 @@ class Residue:
         self.odds, self.prior = odds, prior
 
     @classmethod
-    def fit(cls, trusted: list[str], unlabelled: list[str]) -> Residue:
+    def fit(cls, trusted: list[str], unlabelled: list[str], rounds: int = ROUNDS) -> Residue:
         positive = [Counter(set(p)) for t in trusted for p in passages(t)]
-        other = [Counter(set(p)) for t in unlabelled for p in passages(t)]
-        weight = [0.0] * len(other)
+        of, other = [], []
+        for record, t in enumerate(unlabelled):
+            for p in passages(t):
+                other.append(Counter(set(p)))
+                of.append(record)
+        of, words = np.array(of, dtype=np.int64), np.array([sum(c.values()) for c in other], dtype=np.float64)
+        all_words = np.bincount(of, weights=words, minlength=len(unlabelled))
+        weight = np.zeros(len(other))
         model = cls({}, 0.0)
         known = {t for c in positive for t in c}
-        for _ in range(ROUNDS):
-            yes, no = Counter(), Counter()
+        for _ in range(rounds):
+            yes, no, held = Counter(), Counter(), Counter()
             for c in positive:
                 yes.update(c)
-            for c, w in zip(other, weight):
+            for c, w in zip(other, weight.tolist()):
                 for t, k in c.items():
                     if w > 1e-3:
                         yes[t] += k * w
                     if w < 1 - 1e-3:
                         no[t] += k * (1 - w)
+                if w > 0.5:
+                    held.update(c.keys())
             n_yes, n_no = sum(yes.values()) + 1.0, sum(no.values()) + 1.0
             size = len(yes | no) + 1
             odds = {
                 t: max(-4.0, min(4.0 if t[:1] == "<" else MOST, math.log((yes[t] + 0.1) / (n_yes + 0.1 * size)) - math.log((no[t] + 0.1) / (n_no + 0.1 * size))))
                 for t in (yes | no)
             }
-            # Only what trusted passages use may speak for residue: other kinds of text that are unlike
-            # prose (lists of keywords, say) would else be drawn in, round by round.
-            odds = {t: v if t in known else min(v, 0.0) for t, v in odds.items()}
-            share = (len(positive) + sum(weight)) / max(1, len(positive) + len(other))
+            # A word that no trusted passage has speaks for residue once LEARNT passages taken for residue hold it.
+            odds = {t: v if t in known or held[t] >= LEARNT else min(v, 0.0) for t, v in odds.items()}
+            share = (len(positive) + float(weight.sum())) / max(1, len(positive) + len(other))
             prior = math.log(max(share, 1e-4) / max(1 - share, 1e-4))
-            model = cls(odds, min(-MOST - 0.1, max(-3.0, prior)))
-            weight = [1 / (1 + math.exp(-max(-30.0, min(30.0, model.score(c))))) for c in other]
+            model = cls(odds, min(-MOST - 0.1, prior))
+            score = np.array([model.score(c) for c in other])
+            weight = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+            # Passages count by what their record is: in one that is not residue for the most part they stay
+            # negative, so that odd passages of real pages do not draw others of their kind in, round by round.
+            bad = np.bincount(of, weights=words * (weight > 0.5), minlength=len(unlabelled))
+            weight = weight * (bad >= SHARE * all_words)[of] if len(of) else weight
         return model
 
     def score(self, tokens) -> float:
@@ -146,7 +164,7 @@ def fit(parsed: DataFrame) -> Residue:
     for _, t in sorted(map(tuple, rows.collect())):
         # Prose about such things is long and mentions them in passing; a failed page opens with them or is short.
         sure = message.search(t) or len(form.findall(t)) > 2
-        sure = sure and (len(t) < 400 or message.search(t[:120]) or form.search(t[:120]))
+        sure = sure and (len(t) < SHORT or message.search(t[:OPENING]) or form.search(t[:OPENING]))
         (trusted if sure else rest).append(t)
     seeds = [m.replace("\\[", "[").replace("\\]", "]").replace("\\(", "(").replace("\\)", ")").replace("\\w+", "title").replace("\\.", ".") for m in MESSAGES.split("|")]
     return Residue.fit(seeds + trusted[:MAX_TRUSTED], rest[:MAX_UNLABELLED])

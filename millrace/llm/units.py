@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 LETTER = re.compile(r"[^\W\d_]")
 WORD = re.compile(r"[^\W\d_]+")
@@ -17,29 +18,62 @@ _TOKEN = re.compile(
 )
 _CLASS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]{3,}")
+#: Depth from which ancestors are kept as distinct names, so that no unit carries a path of any length.
+DEEP, OUTER = 60, 10
+_HEAD_END = re.compile(r"</head\s*>|(?=<body)", re.I)
 _ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in _SKIP}
 
 
 def html_units(page: str, noscript: bool = False, shown: list[str] | None = None) -> list[tuple[str, tuple[str, ...], float]]:
     """(tidy text, ancestors from the outside in as tags and class words, share of letters in links) of
     every unit with a letter, in order. With noscript=True, the text of noscript elements comes as units
-    whose last ancestor is 'noscript'. shown gets the text of each unit to be shown: lines of pre are kept,
+    whose last ancestor is 'noscript'. Below DEEP elements a unit has the OUTER outermost ancestors, the distinct
+    names of the others, and its own tag. shown gets the text of each unit to be shown: lines of pre are kept,
     and text without a letter is put to the unit before it (at the start, to the first). Broken markup is
     read as far as it goes; nothing raises."""
     out: list[tuple[str, tuple[str, ...], float]] = []
     text: list[str] = []
     linked = 0
     stack: list[tuple[str, str]] = []
+    opened: Counter[str] = Counter()
+    deep: Counter[str] = Counter()
     in_link = False
     at, n = 0, len(page)
 
+    def names(element: tuple[str, str]) -> tuple[str, ...]:
+        tag, words = element
+        return (tag, *words.split()) if words else (tag,)
+
+    def push(element: tuple[str, str]) -> None:
+        opened[element[0]] += 1
+        stack.append(element)
+        if len(stack) > DEEP:
+            deep.update(names(element))
+
+    def pop(to: int) -> None:
+        while len(stack) > to:
+            element = stack.pop()
+            opened[element[0]] -= 1
+            if len(stack) >= DEEP:
+                for x in names(element):
+                    deep[x] -= 1
+                    if not deep[x]:
+                        del deep[x]
+
+    def ancestors() -> tuple[str, ...]:
+        if len(stack) <= DEEP:
+            return tuple(x for e in stack for x in names(e))
+        outer = [x for e in stack[:OUTER] for x in names(e)]
+        middle = dict.fromkeys(x for e in stack[OUTER:DEEP] for x in names(e))
+        return (*outer, *dict.fromkeys([*middle, *deep]), stack[-1][0])
+
     def flush() -> None:
         nonlocal linked
         if text:
             whole = "".join(text)
             if "&" in whole:
                 whole = html.unescape(whole)
-            lines = whole.strip("\r\n").rstrip() if shown is not None and any(t == "pre" for t, _ in stack) else ""
+            lines = whole.strip("\r\n").rstrip() if shown is not None and opened["pre"] else ""
             whole = " ".join(whole.split())
             if shown is not None and whole:
                 # One text more than units: what stood before the first unit.
@@ -48,8 +82,7 @@ def html_units(page: str, noscript: bool = False, shown: list[str] | None = None
                 else:
                     shown[-1] += "\n" + (lines or whole)
             if LETTER.search(whole):
-                anc = tuple(x for t, k in stack for x in ((t, *k.split()) if k else (t,)))
-                out.append((whole, anc, min(1.0, linked / len(whole))))
+                out.append((whole, ancestors(), min(1.0, linked / len(whole))))
             text.clear()
         linked = 0
 
@@ -74,10 +107,8 @@ def html_units(page: str, noscript: bool = False, shown: list[str] | None = None
             continue
         flush()
         if close:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                pop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             in_link = False if tag not in ("br",) else in_link
             continue
         if tag in _SKIP:
@@ -89,20 +120,20 @@ def html_units(page: str, noscript: bool = False, shown: list[str] | None = None
                 continue
             if tag == "head":
                 # An unclosed head ends where the body begins.
-                end = re.compile(r"</head\s*>|(?=<body)", re.I).search(page, at)
+                end = _HEAD_END.search(page, at)
                 at = end.end() if end else at
                 continue
             end = _ENDS[tag].search(page, at)
             at = end.end() if end else n
             continue
         if tag in ("li", "p", "td", "tr") and stack and stack[-1][0] == tag:
-            stack.pop()
-        if tag not in _VOID and len(stack) < 60:
+            pop(len(stack) - 1)
+        if tag not in _VOID:
             attrs = m.group(3)
             words = ""
             if "=" in attrs:
                 words = " ".join("." + w for g in _CLASS.findall(attrs) for w in _PART.findall(max(g, key=len).lower()))
-            stack.append((tag, words))
+            push((tag, words))
     flush()
     return out
 
@@ -127,8 +158,8 @@ def site_word(host: str) -> str:
 
 
 def text_shape(text: str, name: str) -> tuple[list[str], list[str] | None]:
-    """Features of the text alone, and its words if there are at most 25 of them. name: site_word of the
-    page's site."""
+    """Features of the text alone, and its words if there are at most 25 of them: longer units are told by their
+    length, sentences, place, tags and recurrence, not by single words. name: site_word of the page's site."""
     out = []
     body = text
     m = _DECOR.match(text)

@@ -87,6 +87,24 @@ def test_broken_markup_is_read_as_far_as_it_goes(broken):
     assert isinstance(units.html_units(broken), list)
 
 
+def test_deep_nesting_closes_no_outer_element():
+    for n in (40, 65, 3000):
+        page = f"<div class=wrapper><nav>{'<div>' * n}<b>deep words</b>{'</div>' * n}<p>menu words</p></nav><p>body words</p></div><p>last words</p>"
+        got = {t: a for t, a, _ in units.html_units(page)}
+        assert got["menu words"] == ("div", ".wrapper", "nav", "p") and got["body words"] == ("div", ".wrapper", "p") and got["last words"] == ("p",)
+        assert got["deep words"][-1] == "div" and "nav" in got["deep words"] and len(got["deep words"]) < 80
+    text = "<i>x</i> " * 20 + "</q>" * 20_000
+    assert len(units.html_units("<div>" * 20_000 + text)) == 1
+
+
+def test_long_units_are_counted_over_the_site(spark):
+    notice = "All rights in these pages, their pictures and their tables are reserved by the owner of the place. " * 3
+    rows = [(k, f"https://a.test/{k}", f"# Title {chr(97 + k // 6)}{chr(97 + k % 6)}\n\n{notice}\n") for k in range(30)]
+    df = spark.createDataFrame(rows, "parsed_id long, url string, markdown string")
+    kept = boilerplate.with_counts(boilerplate.written(boilerplate.scored(df, "parsed_documents", "parsed_id", "markdown", "md")))
+    assert {x["n"] for r in kept.collect() for x in r.seen} == {30}
+
+
 def test_main_content_of_pages(spark):
     site = "https://news.example/"
     things = ["bridge", "harbour", "orchard", "library", "tower"]
@@ -192,6 +210,16 @@ def test_residue(spark):
     assert residue.parsed_cases(df.limit(0)).count() == 0
 
 
+def test_messages_are_learnt_from_unlabelled_records():
+    new = ["Error: the gizmo vault refuses entry. The page gizmo vault refuses service.", "Access denied. The gizmo vault refuses entry to this page."]
+    plain = [f"{a} {b} went to the {c} and spoke about {d} for a while." for a in ("Anna", "Boris") for b in ("Weber", "Novak") for c in ("market", "harbour", "school") for d in ("boats", "bread")]
+    seeds = ["access denied", "error: the page refuses service", "page not found"]
+    unknown = "gizmo vault gizmo vault gizmo"
+    once, often = (residue.Residue.fit(seeds, plain * 10 + new * 4, rounds) for rounds in (1, 6))
+    assert once.odds.get("gizmo", 0) <= 0 < often.odds["gizmo"] and often.share(unknown)[0] and not once.share(unknown)[0]
+    assert not any(often.share(t)[0] for t in plain)
+
+
 def test_residue_in_html(spark):
     prose = spark.createDataFrame([(k, t) for k, t in enumerate([*PROSE.values()] * 20)], "parsed_id long, text_sample string")
     model = residue.fit(prose)
