@@ -162,42 +162,66 @@ def _spans(starts: np.ndarray, span: int) -> list[tuple[int, int]]:
     return [(int(starts[a]), int(starts[b]) + span) for a, b in zip(new, last)]
 
 
+class Shard:
+    """Some documents under one FM-index, which is built at the first search and serves every block of items."""
+
+    def __init__(self, docs: list[tuple[int, list[str]]], span: int, sample_rate: int):
+        self.ids, self.span, self.sample_rate = [d for d, _ in docs], span, sample_rate
+        self.symbols: dict[str, int] = defaultdict(count(FIRST).__next__)
+        parts, begins, at = [], [], 0
+        for _, words in docs:
+            begins.append(at)
+            parts += [np.fromiter(map(self.symbols.__getitem__, words), dtype=np.int64, count=len(words)), np.array([GAP])]
+            at += len(words) + 1
+        self.begin, self.seq = np.array(begins), np.concatenate([*parts, np.array([END])])
+        self.index: FMIndex | None = None
+
+    def search(self, items: list[tuple[int, list[str]]]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+        """(item, doc, spans of words)."""
+        phrases, owner, span = [], [], self.span
+        for k, (_, words) in enumerate(items):
+            own = np.array([self.symbols.get(w, END) for w in words], dtype=np.int64)
+            if len(own) >= span:
+                windows = np.lib.stride_tricks.sliding_window_view(own, span)
+                phrases.append(windows)
+                owner.append(np.full(len(windows), k))
+        if not phrases or not self.ids:
+            return
+        self.index = self.index or FMIndex(self.seq, self.sample_rate)
+        block, owner = np.concatenate(phrases), np.concatenate(owner)
+        start, end = self.index.search(block)
+        found = np.flatnonzero(end > start)
+        if not len(found):
+            return
+        sizes = (end - start)[found]
+        rows = np.repeat(start[found] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+        place = self.index.locate(rows)
+        item = np.repeat(owner[found], sizes)
+        doc = np.searchsorted(self.begin, place, side="right") - 1
+        order = np.lexsort((place, doc, item))
+        item, doc, place = item[order], doc[order], place[order]
+        cut = np.flatnonzero((np.diff(item, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+        for a, b in zip(cut, [*cut[1:], len(item)]):
+            yield items[item[a]][0], self.ids[doc[a]], _spans(place[a:b] - self.begin[doc[a]], span)
+
+
 def search_shard(
     docs: list[tuple[int, list[str]]], items: list[tuple[int, list[str]]], span: int, sample_rate: int
 ) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
     """(item, doc, spans of words) for one shard of documents."""
-    ids: dict[str, int] = defaultdict(count(FIRST).__next__)
-    parts, begins, at = [], [], 0
-    for _, words in docs:
-        begins.append(at)
-        parts += [np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words)), np.array([GAP])]
-        at += len(words) + 1
-    begin = np.array(begins)
-    phrases, owner = [], []
-    for k, (_, words) in enumerate(items):
-        own = np.array([ids.get(w, END) for w in words], dtype=np.int64)
-        if len(own) >= span:
-            windows = np.lib.stride_tricks.sliding_window_view(own, span)
-            phrases.append(windows)
-            owner.append(np.full(len(windows), k))
-    if not phrases or not parts:
-        return
-    index = FMIndex(np.concatenate([*parts, np.array([END])]), sample_rate)
-    block, owner = np.concatenate(phrases), np.concatenate(owner)
-    start, end = index.search(block)
-    found = np.flatnonzero(end > start)
-    if not len(found):
-        return
-    sizes = (end - start)[found]
-    rows = np.repeat(start[found] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
-    place = index.locate(rows)
-    item = np.repeat(owner[found], sizes)
-    doc = np.searchsorted(begin, place, side="right") - 1
-    order = np.lexsort((place, doc, item))
-    item, doc, place = item[order], doc[order], place[order]
-    cut = np.flatnonzero((np.diff(item, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
-    for a, b in zip(cut, [*cut[1:], len(item)]):
-        yield items[item[a]][0], docs[doc[a]][0], _spans(place[a:b] - begin[doc[a]], span)
+    return Shard(docs, span, sample_rate).search(items)
+
+
+def _blocks(items: DataFrame, item_id: str, text_col: str, at_once: int) -> Iterator[list[tuple[int, list[str]]]]:
+    block: list[tuple[int, list[str]]] = []
+    rows = items.select(F.col(item_id).cast("long"), text_col).filter(F.col(text_col).isNotNull())
+    for i, t in rows.toLocalIterator():
+        block.append((i, WORD.findall(t.lower())))
+        if len(block) == at_once:
+            yield block
+            block = []
+    if block:
+        yield block
 
 
 def leaks(
@@ -213,36 +237,32 @@ def leaks(
 ) -> DataFrame:
     """(item_id, doc_id, spans): spans are [first word, end word) of the document, merged.
 
-    The items are the query set and go to every task, at most items_at_once of them in one pass; more are
-    searched in further passes."""
-    listed = [
-        (r[0], WORD.findall(r[1].lower()))
-        for r in items.select(F.col(item_id).cast("long"), text_col).filter(F.col(text_col).isNotNull()).orderBy(item_id).toLocalIterator()
-    ]
+    The items are the query set and go to every task, in broadcast blocks of at most items_at_once; the corpus is
+    read and each shard indexed once, for all blocks. A span of a shard's documents is whole: shards end between
+    documents."""
+    spark = docs.sparkSession
+    shared = [spark.sparkContext.broadcast(block) for block in _blocks(items, item_id, text_col, items_at_once)]
     schema = f"{item_id} long, {doc_id} long, spans array<struct<first:long,last:long>>"
     source = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text_col).alias("t")).filter("d is not null and t is not null")
-    source = spread(source)
-    out = None
-    for at in range(0, max(1, len(listed)), items_at_once):
-        shared = docs.sparkSession.sparkContext.broadcast(listed[at : at + items_at_once])
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            def shards() -> Iterator[list]:
-                shard, held = [], 0
-                for pdf in batches:
-                    for d, t in zip(pdf["d"].tolist(), pdf["t"].tolist()):
-                        words = WORD.findall(t.lower())
-                        if len(words) >= span:
-                            shard.append((d, words))
-                            held += len(words) + 1
-                            if held >= shard_words:
-                                yield shard
-                                shard, held = [], 0
-                if shard:
-                    yield shard
-
-            for shard in shards():
-                rows = list(search_shard(shard, shared.value, span, sample_rate))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def shards() -> Iterator[Shard]:
+            shard, held = [], 0
+            for pdf in batches:
+                for d, t in zip(pdf["d"].tolist(), pdf["t"].tolist()):
+                    words = WORD.findall(t.lower())
+                    if len(words) >= span:
+                        shard.append((d, words))
+                        held += len(words) + 1
+                        if held >= shard_words:
+                            yield Shard(shard, span, sample_rate)
+                            shard, held = [], 0
+            if shard:
+                yield Shard(shard, span, sample_rate)
+
+        for shard in shards():
+            for block in shared:
+                rows = list(shard.search(block.value))
                 yield pd.DataFrame(
                     {
                         item_id: pd.Series([r[0] for r in rows], dtype="int64"),
@@ -251,6 +271,4 @@ def leaks(
                     }
                 )
 
-        part = source.mapInPandas(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return spread(source).mapInPandas(run, schema)

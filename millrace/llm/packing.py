@@ -48,7 +48,7 @@ def best_fit(
         size = float(sizes[item])
         need = np.array([size, 1.0, size * size]) * scale
         r = room[:, :n_open]
-        fits = (r[0] >= need[0] - 1e-12) & (r[1] >= need[1] - 1e-12) & (r[2] >= need[2] - 1e-12)
+        fits = (r[0] >= need[0] - 1e-9) & (r[1] >= need[1] - 1e-9) & (r[2] >= need[2] - 1e-9)
         at = np.flatnonzero(fits)
         if len(at):
             if rule == "dot":
@@ -66,7 +66,7 @@ def best_fit(
             ids[k] = where[item] = opened
             n_open, opened = n_open + 1, opened + 1
         # A container that can take nothing more is closed, which keeps the scan short.
-        if room[0, k] * capacity < 1 or room[1, k] * max_docs < 1:
+        if room[0, k] * capacity < 1 - 1e-9 or room[1, k] * max_docs < 1 - 1e-9:
             n_open -= 1
             room[:, k], ids[k] = room[:, n_open], ids[n_open]
     return where, opened
@@ -105,8 +105,8 @@ def pack(
     id_col: str,
     text_col: str,
     capacity: int = 8192,
-    max_docs: int = 256,
-    max_cost_share: float = 0.95,
+    max_docs: int = 16,
+    max_cost_share: float = 0.9,
     rule: str = "residual",
     task_units: int = 64_000_000,
 ) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.urls import canonicalize
 from millrace.llm import boilerplate, language, leaks, neardup, packing, residue, seen, site_lines, spam, splitting
+from millrace.plans import catalogue
 from millrace.session import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,6 +112,28 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What any valid filling of p8_containers has in common: texts and size units packed, texts that are not whole
+    though they fit, containers above any capacity, and whether at least 98 % of the space is used but for one
+    container of each task."""
+    rows = p8_containers(spark, d)
+    cost = F.sum(F.col("size").cast("double") * F.col("size"))
+    boxes = rows.groupBy("container_id").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), cost.alias("cost"))
+    of_boxes = boxes.agg(
+        F.count_if(F.col("size") > 8192).alias("overfull"),
+        F.count_if(F.col("n") > 16).alias("too_many"),
+        F.count_if((F.col("cost") > 0.9 * 8192 * 8192) & (F.col("n") > 1)).alias("too_dear"),
+        (F.sum("size") >= 0.98 * 8192 * (F.count(F.lit(1)) - 1)).alias("tight"),
+    )
+    texts = rows.groupBy("doc_id").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    of_texts = texts.agg(
+        F.count(F.lit(1)).alias("texts"),
+        F.sum("size").alias("units"),
+        F.count_if((F.col("size") <= 8192) & (F.col("n") > 1)).alias("needlessly_cut"),
+    )
+    return of_texts.crossJoin(of_boxes)  # one row each
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -148,12 +171,32 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p10_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of p10_pieces put together again: for each text the md5 of the whole, and whether all pieces are
+    within the limit and each begins 256 size units before the end of the one before (less than one character
+    more, as none is cut in two)."""
+    rows = p10_pieces(spark, d)
+    # Pieces of one text: at most its size over half a piece.
+    parts = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", "byte_start", "size", "piece"))).alias("p"))
+    whole = F.aggregate(
+        "p", F.to_binary(F.lit(""), F.lit("utf-8")), lambda out, x: F.concat(out, F.substr(x["piece"].cast("binary"), F.octet_length(out) - x["byte_start"].cast("int") + 1))
+    )
+    steps = F.transform(F.sequence(F.lit(1), F.size("p")), lambda k: F.when(k > 1, F.get("p", k - 2)["byte_start"] + F.get("p", k - 2)["size"] - F.get("p", k - 1)["byte_start"]))
+    return parts.select(
+        "doc_id",
+        F.md5(whole).alias("text_md5"),
+        F.forall("p", lambda x: x["size"] <= 4096).alias("within"),
+        F.forall(steps, lambda n: n.isNull() | n.between(256, 259)).alias("overlapped"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
     words = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+    trimmed = catalogue._trim("text")
     grams12 = "unnest(list_transform(range(1, greatest(len(w) - 10, 1)), lambda i: array_to_string(w[i:i + 11], ' '))) AS g"
     return {
         "p2_groups": """
@@ -175,6 +218,21 @@ def oracle_sql() -> dict[str, str]:
             dg AS (SELECT doc_id, {grams12} FROM d WHERE len(w) >= 12),
             eg AS (SELECT DISTINCT item_id, g FROM (SELECT item_id, {grams12} FROM e WHERE len(w) >= 12))
             SELECT DISTINCT eg.item_id, dg.doc_id FROM dg JOIN eg USING (g)""",
+        "p8_invariants": f"""
+            WITH t AS (SELECT strlen({trimmed}) AS n FROM documents WHERE text IS NOT NULL)
+            SELECT count(*) AS texts, sum(n)::BIGINT AS units, 0::BIGINT AS needlessly_cut, 0::BIGINT AS overfull, 0::BIGINT AS too_many,
+              0::BIGINT AS too_dear, true AS tight FROM t WHERE n > 0""",
+        "p9_spans": f"""
+            WITH d AS (SELECT doc_id, {words} AS w FROM documents WHERE text IS NOT NULL),
+            e AS (SELECT item_id, {words} AS w FROM eval_items WHERE text IS NOT NULL),
+            dg AS (SELECT doc_id, unnest(range(0, len(w) - 11)) AS p, {grams12} FROM d WHERE len(w) >= 12),
+            eg AS (SELECT DISTINCT g FROM (SELECT {grams12} FROM e WHERE len(w) >= 12)),
+            h AS (SELECT DISTINCT doc_id, p FROM dg JOIN eg USING (g)),
+            i AS (SELECT *, coalesce(p - lag(p) OVER w > 12, true) AS new FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+            s AS (SELECT *, sum(new::INTEGER) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM i)
+            SELECT doc_id, min(p)::BIGINT AS first_word, max(p)::BIGINT + 12 AS end_word FROM s GROUP BY doc_id, k""",
+        "p10_whole": f"""
+            SELECT doc_id, md5({trimmed}) AS text_md5, true AS within, true AS overlapped FROM documents WHERE {trimmed} <> ''""",
         "p10_found": """
             WITH t AS (SELECT doc_id, trim(text, E' \\n\\r\\t\\x0b\\x0c') AS t FROM documents),
             s AS (SELECT doc_id, string_split(regexp_replace(t, E'\\n#', E'\\x01#', 'g'), E'\\x01') AS u FROM t WHERE strlen(t) > 4096),

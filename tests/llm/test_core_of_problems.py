@@ -234,7 +234,7 @@ def _packed(spark, texts, **kw):
 def test_packing_is_valid_and_tight(spark, rule):
     rng = random.Random(4)
     texts = ["ä" * rng.randrange(1, 300) for _ in range(600)] + [None, "", "  \n", "y" * 2500, "z" * 1000]
-    rows = _packed(spark, texts, capacity=1000, max_docs=20, rule=rule)
+    rows = _packed(spark, texts, capacity=1000, max_docs=20, max_cost_share=0.95, rule=rule)
     fill, count, cost = {}, {}, {}
     for r in rows:
         fill[r.container_id] = fill.get(r.container_id, 0) + r["size"]
@@ -254,6 +254,19 @@ def test_packing_is_valid_and_tight(spark, rule):
     assert sum(fill.values()) / 1000 / len(fill) > 0.9
 
 
+@pytest.mark.parametrize("rule", ["residual", "dot"])
+def test_every_capacity_binds(rule):
+    rng = np.random.default_rng(8)
+    sizes = np.concatenate([rng.integers(1, 40, 500), rng.integers(500, 850, 60)])
+    where, n = packing.best_fit(sizes, 1000, 12, 0.6e6, rule)
+    count, fill = np.bincount(where), np.bincount(where, weights=sizes)
+    cost = np.bincount(where, weights=sizes.astype(float) ** 2)
+    assert count.max() == 12 and fill.max() <= 1000 and len(count) == n and count.sum() == len(sizes)
+    assert (cost[count > 1] <= 0.6e6).all() and cost[count > 1].max() > 0.57e6
+    free = packing.best_fit(sizes, 1000, 1000, 1e9, rule)[1]
+    assert free < n
+
+
 def test_packing_nothing(spark):
     assert _packed(spark, [None, "", " "]) == []
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
@@ -286,6 +299,14 @@ def test_fm_index_counts_and_places():
             assert sorted(index.locate(np.arange(s, e)).tolist()) == want
 
 
+def test_one_index_serves_all_blocks_of_items(spark):
+    words = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(k, " ".join(words[k:] + ["end"] * k)) for k in range(20)], "doc_id long, text string")
+    items = spark.createDataFrame([(k, " ".join(words[2 * k : 2 * k + 14])) for k in range(20)], "item_id long, text string")
+    got = [sorted((r.item_id, r.doc_id, str(r.spans)) for r in leaks.leaks(docs, items, items_at_once=n).collect()) for n in (3, 100)]
+    assert got[0] == got[1] and got[0]
+
+
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(6)
     items = [(k, " ".join(f"v{rng.randrange(40)}" for _ in range(rng.choice([8, 12, 40])))) for k in range(30)] + [(98, None), (99, "")]
