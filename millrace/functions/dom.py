@@ -8,6 +8,7 @@ raises, whatever the markup.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -22,16 +23,17 @@ _BLANK = re.compile(r"[ \t\n\r\f\v]*\Z")
 
 
 class Element:
-    """A node: kids are elements and strings. `up` is None once it is cut off (and for the root)."""
+    """A node: kids are elements and strings. An element that is taken out or replaced stays among its parent's kids
+    with `gone` set (as all below it), and `shown` is the string in its place, so that each costs no search."""
 
-    __slots__ = ("tag", "attrs", "kids", "up", "gone")
+    __slots__ = ("tag", "attrs", "kids", "up", "gone", "shown")
 
     def __init__(self, tag: str, attrs: dict[str, str], up: Element | None):
-        self.tag, self.attrs, self.up, self.kids, self.gone = tag, attrs, up, [], False
+        self.tag, self.attrs, self.up, self.kids, self.gone, self.shown = tag, attrs, up, [], False, None
 
     def walk(self) -> Iterator[Element]:
         """Elements below this one, in document order; cut-off parts are not entered."""
-        stack = [iter(list(self.kids))]
+        stack = [iter(self.kids)]
         while stack:
             kid = next(stack[-1], None)
             if kid is None:
@@ -39,7 +41,7 @@ class Element:
             elif isinstance(kid, Element) and not kid.gone:
                 yield kid
                 if not kid.gone:
-                    stack.append(iter(list(kid.kids)))
+                    stack.append(iter(kid.kids))
 
     def select(self, test: Callable[[Element], bool]) -> list[Element]:
         return [e for e in self.walk() if test(e)]
@@ -59,6 +61,9 @@ class Element:
                 stack.pop()
             elif isinstance(kid, str):
                 yield kid
+            elif kid.gone:
+                if kid.shown is not None:
+                    yield kid.shown
             elif kid.tag not in SILENT:
                 stack.append(iter(kid.kids))
 
@@ -66,25 +71,30 @@ class Element:
         """Every string stripped, empty ones dropped, joined."""
         return joint.join(s for s in (x.strip() for x in self.strings()) if s)
 
-    def replace(self, text: str) -> None:
-        """Put a string in the place of this element."""
-        if self.up is not None:
-            kids = self.up.kids
-            at = next(i for i, k in enumerate(kids) if k is self)
-            kids[at] = text
-            self._cut()
+    def replace(self, text: str | None) -> None:
+        """Put a string in the place of this element; None takes it out."""
+        self.shown = text
+        below = list(self.walk())
+        self.gone = True
+        for e in below:
+            e.gone = True
 
     def drop(self) -> None:
-        """Take this element out."""
-        if self.up is not None:
-            kids = self.up.kids
-            del kids[next(i for i, k in enumerate(kids) if k is self)]
-        self._cut()
-
-    def _cut(self) -> None:
-        self.up, self.gone = None, True
-        for e in self.walk():
-            e.gone = True
+        self.replace(None)
+
+    def sums(self, of: Callable[[Element], bool]) -> dict[Element, tuple[int, int, int]]:
+        """For each live element below (and this one): the length of its text, how many elements below it pass `of`,
+        and the length of their texts. One pass from the leaves up, whatever the depth."""
+        order = [self, *self.walk()]
+        size, n, held = ({e: 0 for e in order} for _ in range(3))
+        for e in reversed(order):
+            size[e] += sum(len(k.strip()) for k in e.kids if isinstance(k, str))
+            if e is not self:
+                hit = of(e)
+                size[e.up] += size[e] if e.tag not in SILENT else 0
+                n[e.up] += n[e] + hit
+                held[e.up] += held[e] + (size[e] if hit else 0)
+        return {e: (size[e], n[e], held[e]) for e in order}
 
     @property
     def classes(self) -> list[str]:
@@ -96,13 +106,14 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Element("", {}, None)
         self.open: list[Element] = [self.root]
+        self.count: Counter[str] = Counter()
         self.text: list[str] = []
 
     def flush(self) -> None:
         if self.text:
             s = "".join(self.text)
             self.text.clear()
-            if _BLANK.match(s) and not any(e.tag in ("pre", "textarea") for e in self.open):
+            if _BLANK.match(s) and not (self.count["pre"] or self.count["textarea"]):
                 s = "\n" if "\n" in s else " "
             self.open[-1].kids.append(s)
 
@@ -112,6 +123,7 @@ class _Builder(HTMLParser):
         self.open[-1].kids.append(e)
         if tag not in VOID:
             self.open.append(e)
+            self.count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -119,9 +131,10 @@ class _Builder(HTMLParser):
 
     def handle_endtag(self, tag):
         self.flush()
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
+        while self.count[tag]:
+            last = self.open.pop().tag
+            self.count[last] -= 1
+            if last == tag:
                 break
 
     def handle_data(self, data):

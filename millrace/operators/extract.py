@@ -139,14 +139,13 @@ def strip_boilerplate(root: Element) -> None:
 
     cut(note)
     cut(lambda e: _class_hit(e, CITATION_CLASSES, False))
+    # An element is judged by what it held before those inside it were: sums of the whole tree serve all of them.
+    sums = root.sums(lambda e: e.tag == "a")
     for e in root.tags("div", "section", "ul", "ol", "table"):
-        if e.gone or e.attrs.get("id") in KEPT_IDS or KEPT_CLASSES.intersection(e.classes):
-            continue
-        links = e.tags("a")
-        if len(links) >= LEAST_LINKS:
-            size = len(e.flat(""))
-            if size >= LEAST_TEXT and sum(len(a.flat("")) for a in links) / size >= LINK_DENSITY:
-                e.drop()
+        size, links, linked = sums[e]
+        kept = e.attrs.get("id") in KEPT_IDS or KEPT_CLASSES.intersection(e.classes)
+        if not kept and links >= LEAST_LINKS and size >= LEAST_TEXT and linked / size >= LINK_DENSITY:
+            e.drop()
 
 
 def body_of(root: Element) -> Element:
@@ -168,21 +167,21 @@ def main_root(root: Element) -> Element:
     return body_of(root)
 
 
+def _row(cells: list[str]) -> str:
+    return f"| {' | '.join(cells)} |"
+
+
 def _table(e: Element) -> str:
-    """GitHub-style rows; the rule follows the first row, whose width holds for the others."""
-    out, width = [], 0
-    for k, row in enumerate(e.tags("tr")):
-        cells = [_SPACES.sub(" ", c.flat(" ")).replace("|", "\\|") for c in row.tags("th", "td")]
-        if not any(cells):
-            continue
-        if k == 0:
-            width = len(cells)
-        elif width:
-            cells = (cells + [""] * width)[:width]
-        out.append("| " + " | ".join(cells) + " |")
-        if k == 0:
-            out.append("| " + " | ".join(["---"] * width) + " |")
-    return "\n\n" + "\n".join(out) + "\n\n" if out else ""
+    """GitHub-style rows. Rows without text are left out; if the first row has any, it is the head, and its width
+    is that of all others."""
+    grid = [[_SPACES.sub(" ", c.flat(" ")).replace("|", "\\|") for c in row.tags("th", "td")] for row in e.tags("tr")]
+    lines, head = [], grid[0] if grid and any(grid[0]) else []
+    if head:
+        lines = [_row(head), _row(["---"] * len(head))]
+    for cells in grid[1:]:
+        if any(cells):
+            lines.append(_row([*cells, *[""] * len(head)][: len(head) or len(cells)]))
+    return "\n\n" + "\n".join(lines) + "\n\n" if lines else ""
 
 
 def _link(e: Element) -> str:
@@ -244,8 +243,8 @@ def _page(html: str | None) -> tuple:
         strip_boilerplate(root)
         body = body_of(root).flat(" ")
         return title, about, list(meta.items()), hrefs, language_of(root, body[:SAMPLE]), body, raw_markdown(root), None
-    except RecursionError as e:
-        return "", "", [], [], "", "", "", str(e)[:200]
+    except Exception as e:  # whatever a page does, it becomes a dead letter and the job goes on
+        return "", "", [], [], "", "", "", f"{type(e).__name__}: {e}"[:200]
 
 
 def extract(pages: DataFrame, html_col: str = "html", punycode: dict[str, Callable] | None = None) -> DataFrame:
