@@ -58,7 +58,17 @@ def write_files(files: DataFrame, root: str) -> None:
 
 
 def document_json(columns: list[str]) -> Column:
-    return F.to_json(F.struct(*columns))
+    """One document as a JSON object; missing values stay as null."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def chunk_json(chunks: DataFrame, by: str) -> DataFrame:
+    """(by, chunks): the chunks of each document as one JSON array in their order. A document's chunks are at most
+    its words over the step; the corpus is never one array."""
+    cols = [c for c in chunks.columns if c != by]
+    listed = F.array_sort(F.collect_list(F.struct("index", *[c for c in cols if c != "index"])))
+    objects = F.transform(listed, lambda c: F.struct(*[c[x].alias(x) for x in cols]))
+    return chunks.groupBy(by).agg(F.to_json(objects, {"ignoreNullFields": "false"}).alias("chunks"))
 
 
 def export_summary(docs: DataFrame, columns: list[str]) -> DataFrame:

@@ -92,8 +92,9 @@ def children(docs: DataFrame, seen: DataFrame | None = None, priority: int = DEF
         "stay_in_domain",
         "scope_host",
     )
-    first = F.min_by(F.struct("job_id", "depth", "max_depth", "priority", "stay_in_domain", "scope_host"), F.struct("depth", "job_id"))
-    c = c.groupBy("url").agg(first.alias("t")).select("t.*", "url")
+    # Of equal addresses the shallowest; the other columns only make the choice certain.
+    first = F.min(F.struct("depth", "job_id", "max_depth", "stay_in_domain", "scope_host", "priority"))
+    c = c.groupBy("url").agg(first.alias("t")).select("t.job_id", "t.depth", "t.max_depth", "t.priority", "t.stay_in_domain", "t.scope_host", "url")
     return c if seen is None else c.join(seen.select("url"), "url", "left_anti")
 
 

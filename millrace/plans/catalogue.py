@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text, urls
 from millrace.operators import chunks as ch
 from millrace.operators import deadletters, extract, frontier, jobs, outcomes, sinks, submit
-from millrace.schemas import COUNTERS
+from millrace.schemas import COUNTERS, CRAWL_TARGET
 from millrace.session import table, written
 from millrace.settings import DEFAULTS
 from millrace.sources import seeds
@@ -301,9 +301,9 @@ def batch_reports_idn(spark, d):
 def target_json(spark, d):
     """SRC4: targets written as JSON lines and read again."""
     t = table(spark, d, "crawl_targets").withColumn("created_at", F.col("created_at").cast("string"))
-    cols = [f.split()[0] for f in seeds.CRAWL_TARGET.split(", ")]
-    lines = t.select("target_id", F.to_json(F.struct(*cols)).alias("value"))
-    back = lines.select("target_id", F.from_json("value", seeds.CRAWL_TARGET).alias("t"))
+    # The record has no number of its own: each line carries that of its target beside it.
+    lines = seeds.target_json(t.select("target_id", *[f.split()[0] for f in CRAWL_TARGET.split(", ")]))
+    back = lines.select(F.get_json_object("value", "$.target_id").cast("long").alias("target_id"), F.from_json("value", CRAWL_TARGET).alias("t"))
     return back.select("target_id", "t.*").drop("created_at")
 
 
@@ -460,11 +460,21 @@ def chunks(spark, d):
 
 
 @query(f"WITH {_CHUNKS} SELECT count(*) AS total_chunks, 400::INTEGER AS chunk_size_tokens, 50::INTEGER AS overlap_tokens FROM u")
-def chunk_export(spark, d):
-    """SNK5."""
+def chunk_summary(spark, d):
+    """The head of SNK5."""
     return sinks.chunk_summary(chunks(spark, d))
 
 
+@query(
+    f"""WITH {_CHUNKS}, c AS (SELECT parsed_id, i, {{'chunk_id': left(sha256(url || i), 12), 'index': i::BIGINT, 'url': url, 'title': coalesce(title, ''), 'section': heading,
+      'content': '### ' || heading || E'\\n\\n' || c, 'estimated_tokens': greatest(1, length(c) // 4)::BIGINT}} AS o FROM u)
+    SELECT parsed_id, md5(to_json(list(o ORDER BY i))::VARCHAR) AS chunks_md5 FROM c GROUP BY parsed_id"""
+)
+def chunk_export(spark, d):
+    """SNK5: the whole array of every document."""
+    return sinks.chunk_json(chunks(spark, d), "parsed_id").select("parsed_id", F.md5("chunks").alias("chunks_md5"))
+
+
 @query(
     r"""WITH l AS (SELECT doc_id, unnest(string_split(text, E'\n')) AS line, generate_subscripts(string_split(text, E'\n'), 1) - 1 AS pos FROM documents),
     h AS (SELECT doc_id, count(DISTINCT pos) FILTER (line[1] = '#') AS headings FROM l GROUP BY 1),
@@ -617,7 +627,7 @@ _FETCH_COLUMNS = """SELECT target_id, url, scope_host, stay_in_domain, attempts,
       CASE WHEN target_id % 23 = 0 THEN 'robots.txt fetch failed' END AS robots_error, target_id % 19 <> 0 AS allowed, (target_id % 7) * 10000 AS crawl_delay_ms,
       target_id % 29 = 0 AS blocked_address, CASE WHEN target_id % 17 = 0 THEN 'connection reset' END AS net_error,
       [200, 200, 200, 404, 429, 503, 301][target_id % 7 + 1] AS status, CASE WHEN target_id % 13 = 0 THEN 'https://elsewhere.test/' ELSE url END AS final_url,
-      ['text/html; charset=utf-8', 'application/pdf', '', 'application/xhtml+xml'][target_id % 4 + 1] AS content_type, '<!DOCTYPE html><html>' AS body_head,
+      ['text/html; charset=utf-8', 'application/pdf', '', 'application/xhtml+xml'][target_id % 4 + 1] AS content_type, ['<!DOCTYPE html><html>', '%PDF-1.7', '  <Div>', '{"a": 1}', '<!-- x -->', '<divan>'][target_id % 6 + 1] AS body_head,
       (target_id % 3) * 30000 AS retry_after_ms FROM crawl_targets"""
 _OUT_SCOPE = rf"lower(regexp_extract({_trim('final_url')}, '(?i)^https?://([^/?#:]*)', 1))"
 
@@ -630,7 +640,7 @@ _OUT_SCOPE = rf"lower(regexp_extract({_trim('final_url')}, '(?i)^https?://([^/?#
     k AS (SELECT *, CASE WHEN host = '' THEN 1 WHEN robots_error IS NOT NULL THEN 2 WHEN NOT allowed THEN 3 WHEN blocked_address THEN 4 WHEN net_error IS NOT NULL THEN 5
       WHEN status = 429 OR status >= 500 THEN 6 WHEN status NOT BETWEEN 200 AND 299 THEN 7
       WHEN coalesce(stay_in_domain, false) AND NOT {_scope_sql('final_host', "coalesce(nullif(scope_host, ''), host)")} THEN 8
-      WHEN content_type = 'application/pdf' THEN 9 ELSE 10 END AS rule FROM g)
+      WHEN content_type = 'application/pdf' OR (content_type = '' AND NOT regexp_matches(lower(body_head), '^[\s]*(<!doctype html|<div|<!--)[ >]')) THEN 9 ELSE 10 END AS rule FROM g)
     SELECT target_id,
       CASE WHEN rule IN (1, 4) THEN 'dead' WHEN rule IN (2, 5, 6) THEN CASE WHEN attempt >= 3 THEN 'dead' ELSE 'delay' END WHEN rule = 10 THEN 'push' ELSE 'finish' END AS action,
       CASE WHEN rule IN (1, 4, 7) THEN 'pages_failed' WHEN rule IN (2, 5, 6) THEN CASE WHEN attempt >= 3 THEN 'pages_failed' ELSE 'fetch_retries' END
@@ -656,7 +666,7 @@ def fetch_outcomes(spark, d):
         pick([200, 200, 200, 404, 429, 503, 301], 7).alias("status"),
         F.when(k % 13 == 0, "https://elsewhere.test/").otherwise(F.col("url")).alias("final_url"),
         pick(["text/html; charset=utf-8", "application/pdf", "", "application/xhtml+xml"], 4).alias("content_type"),
-        F.lit("<!DOCTYPE html><html>").alias("body_head"),
+        pick(["<!DOCTYPE html><html>", "%PDF-1.7", "  <Div>", '{"a": 1}', "<!-- x -->", "<divan>"], 6).alias("body_head"),
         ((k % 3) * 30000).alias("retry_after_ms"),
     )
     return outcomes.fetch_outcomes(f).select("target_id", "action", "counter", "gap_ms", "delay_ms", "reason")
@@ -675,14 +685,15 @@ def retry_plan(spark, d):
 
 
 @query(
-    """WITH v(header) AS (VALUES ('120'), ('0'), ('-5'), ('soon'), (''), (NULL), ('Mon, 26 Jan 2026 00:01:00 GMT'), ('Mon, 26 Jan 2026 00:00:00 GMT'))
-    SELECT header, CASE WHEN header = '120' THEN 120000 WHEN header LIKE '%00:01:00 GMT' THEN 30000 ELSE 0 END::BIGINT AS retry_after_ms FROM v"""
+    """SELECT target_id, CASE target_id % 5 WHEN 0 THEN greatest(target_id - 300, 0) * 1000 WHEN 1 THEN greatest(epoch_us(created_at) // 1000000 * 1000 - 1768000000000, 0)
+      ELSE 0 END::BIGINT AS retry_after_ms FROM crawl_targets"""
 )
 def retry_after(spark, d):
-    """FN11."""
-    rows = [("120",), ("0",), ("-5",), ("soon",), ("",), (None,), ("Mon, 26 Jan 2026 00:01:00 GMT",), ("Mon, 26 Jan 2026 00:00:00 GMT",)]
-    now = F.lit("2026-01-26 00:00:30").cast("timestamp")
-    return spark.createDataFrame(rows, "header string").select("header", outcomes.retry_after_ms(F.col("header"), now).alias("retry_after_ms"))
+    """FN11: headers made of the targets' numbers and times: seconds, dates, white space, words, none."""
+    k, sent = F.col("target_id"), F.date_format("created_at", "EEE, dd MMM yyyy HH:mm:ss")
+    header = F.when(k % 5 == 0, (k - 300).cast("string")).when(k % 5 == 1, F.concat(sent, F.lit(" GMT"))).when(k % 5 == 2, " ").when(k % 5 == 3, F.concat(F.lit("in "), k.cast("string")))
+    now = F.timestamp_millis(F.lit(1_768_000_000_000))
+    return table(spark, d, "crawl_targets").select("target_id", outcomes.retry_after_ms(header, now).alias("retry_after_ms"))
 
 
 @query(
@@ -703,24 +714,28 @@ def truncated_bodies(spark, d):
     return table(spark, d, "raw_pages").select("page_id", F.octet_length(body).cast("long").alias("kept_bytes"), cut.alias("truncated"))
 
 
-# Addresses and whether they are public.
-_ADDRESSES = {
-    "93.184.216.34": True, "2606:4700::1111": True, "127.0.0.1": False, "10.1.2.3": False, "172.16.0.1": False, "192.168.1.1": False,
-    "169.254.169.254": False, "100.64.0.1": False, "0.0.0.0": False, "::1": False, "fe80::1": False, "fd00::1": False,
-    "::ffff:127.0.0.1": False, "224.0.0.1": False,
-}
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {v})" for a, v in _ADDRESSES.items()) + ") t(addr, is_public)")
+@query(
+    """WITH a AS (SELECT event_id, [10, 100, 127, 169, 172, 192, 0, 8, 223, 224, 240][event_id % 11 + 1] AS a, [0, 16, 31, 32, 64, 127, 128, 168, 254][event_id % 9 + 1] AS b,
+        event_id % 256 AS c, event_id * 7 % 256 AS d FROM events),
+    v AS (SELECT *, concat(a, '.', b, '.', c, '.', d) AS v4 FROM a)
+    SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '::ffff:' || v4 ELSE v4 END AS addr,
+      NOT (a IN (10, 127) OR a BETWEEN 224 AND 239 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31)
+        OR (a = 192 AND b = 168) OR (a = 0 AND (b = 0 AND c = 0 AND d = 0 OR event_id % 3 = 0)) OR (a = 240 AND event_id % 3 = 0)
+        OR (a = 192 AND b = 0 AND c IN (0, 2) AND event_id % 3 = 0)) AS is_public FROM v"""
+)
 def public_addresses(spark, d):
-    """FN14."""
-    return spark.createDataFrame([(a,) for a in _ADDRESSES], "addr string").select("addr", outcomes.public_address(F.col("addr")).alias("is_public"))
+    """FN14 over addresses made of the events' numbers, a third of them IPv4 inside IPv6."""
+    k = F.col("event_id")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    v4 = F.concat_ws(".", pick([10, 100, 127, 169, 172, 192, 0, 8, 223, 224, 240]), pick([0, 16, 31, 32, 64, 127, 128, 168, 254]), k % 256, k * 7 % 256)
+    e = table(spark, d, "events").select("event_id", F.when(k % 3 == 0, F.concat(F.lit("::ffff:"), v4)).otherwise(v4).alias("addr"))
+    return e.select("event_id", "addr", outcomes.public_address(F.col("addr")).alias("is_public"))
 
 
 _POLICY = """
     pol AS (SELECT host, [200, 404, 503, 200][k % 4 + 1] AS status,
       CASE WHEN k % 4 = 0 THEN E'User-agent: *\\nDisallow: /item/\\nAllow: /item/old\\nCrawl-delay: 2\\n' ELSE E'User-agent: other\\nDisallow: /\\n\\nUser-agent: millrace\\nDisallow: /wiki/\\n' END AS body
-      FROM (SELECT host, row_number() OVER (ORDER BY host) AS k FROM (SELECT DISTINCT lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) AS host FROM raw_pages)))"""
+      FROM (SELECT host, length(host) AS k FROM (SELECT DISTINCT lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) AS host FROM raw_pages)))"""
 
 
 @query(
@@ -731,12 +746,9 @@ _POLICY = """
 )
 def robots_decisions(spark, d):
     """JN4, DC5, DC6: policies made up for every host of the pages."""
-    from pyspark.sql import Window
-
     p = table(spark, d, "raw_pages")
     host = urls.url_host(F.lower("url"))
-    k = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("host"))  # over the made-up policies only
-    pol = p.select(host.alias("host")).distinct().withColumn("k", k)
+    pol = p.select(host.alias("host")).distinct().withColumn("k", F.length("host"))
     body = F.when(F.col("k") % 4 == 0, "User-agent: *\nDisallow: /item/\nAllow: /item/old\nCrawl-delay: 2\n").otherwise(
         "User-agent: other\nDisallow: /\n\nUser-agent: millrace\nDisallow: /wiki/\n"
     )
@@ -746,13 +758,14 @@ def robots_decisions(spark, d):
 
 
 @query(
-    """WITH v(status, fetched_ms) AS (VALUES (200, 1769990000000), (200, 1769900000000), (503, 1769999000000), (503, 1769990000000), (404, 1769950000000))
-    SELECT status, fetched_ms FROM v WHERE fetched_ms + CASE WHEN status >= 500 THEN 3600000 ELSE 86400000 END > 1770000000000"""
+    f"""SELECT page_id, status_code AS status FROM raw_pages WHERE epoch_ms(fetched_at) + CASE WHEN status_code >= 500 THEN 3600000 ELSE 86400000 END
+      > (SELECT max(epoch_ms(fetched_at)) - 43200000 FROM raw_pages)"""
 )
 def fresh_policies(spark, d):
-    """SM6, SM7."""
-    rows = [(200, 1769990000000), (200, 1769900000000), (503, 1769999000000), (503, 1769990000000), (404, 1769950000000)]
-    return outcomes.fresh_policies(spark.createDataFrame(rows, "status int, fetched_ms long"), NOW_MS)
+    """SM6, SM7: the fetches of the pages taken as fetches of policies, half a day before the last of them."""
+    p = table(spark, d, "raw_pages").select("page_id", F.col("status_code").alias("status"), F.unix_millis("fetched_at").alias("fetched_ms"))
+    now = p.agg(F.max("fetched_ms")).first()[0] - 43_200_000
+    return outcomes.fresh_policies(p, now).select("page_id", "status")
 
 
 # --- jobs and metrics
@@ -840,7 +853,8 @@ _METRICS = f"""{_canonical_sql('crawl_targets', 'target_id')},
       (SELECT count(DISTINCT lower(regexp_extract(url, '^[hH][tT][tT][pP][sS]?://([^/?#]+)', 1))) FROM crawl_targets WHERE regexp_matches(url, '^[hH][tT][tT][pP][sS]?://[^/?#]')) AS active_hosts,
       (SELECT count(*) FROM jobs WHERE status = 'running') AS in_flight_processing, (SELECT count(*) FROM crawl_targets WHERE attempts > 0) AS delayed_retry,
       (SELECT count(*) FROM dead_letters WHERE queue = 'frontier') AS dead_letter, (SELECT count(*) FROM dead_letters WHERE queue = 'raw_pages') AS raw_pages_dead_letter,
-      (SELECT count(*) FROM raw_pages) AS raw_pages_for_parser, 0::BIGINT AS raw_pages_in_flight, (SELECT count(DISTINCT canonical) FROM canon) AS unique_urls_seen,
+      (SELECT count(*) FROM raw_pages) AS raw_pages_for_parser,
+      (SELECT count(*) FROM raw_pages r WHERE NOT EXISTS (SELECT 1 FROM parsed_documents p WHERE p.job_id = r.job_id AND p.url = r.url)) AS raw_pages_in_flight, (SELECT count(DISTINCT canonical) FROM canon) AS unique_urls_seen,
       documents AS parsed_documents_total, markdown_tokens AS total_markdown_tokens_est, markdown_bytes, raw_html_bytes,
       CASE WHEN raw_html_bytes > 0 THEN floor((1 - markdown_bytes / raw_html_bytes::DOUBLE) * 1000 + 0.5) / 10 ELSE 0 END AS token_savings_pct
       FROM (SELECT {_TOTALS} FROM parsed_documents))"""
@@ -857,6 +871,13 @@ def cluster_metrics_idn(spark, d):
     return _cluster_metrics(spark, d, True)
 
 
+def _waiting(spark, d) -> DataFrame:
+    """Pages, and those of them without a document yet."""
+    p = table(spark, d, "raw_pages").select("job_id", "url")
+    done = table(spark, d, "parsed_documents").select("job_id", "url").distinct().withColumn("parsed", F.lit(True))
+    return p.join(done, ["job_id", "url"], "left").agg(F.count(F.lit(1)).alias("raw_pages_for_parser"), F.count_if(F.col("parsed").isNull()).alias("raw_pages_in_flight"))
+
+
 def _cluster_metrics(spark, d, idn: bool) -> DataFrame:
     t, letters = table(spark, d, "crawl_targets"), table(spark, d, "dead_letters")
     host = urls.routing_host(F.col("url"))
@@ -871,7 +892,7 @@ def _cluster_metrics(spark, d, idn: bool) -> DataFrame:
         targets=of_targets,
         jobs=table(spark, d, "jobs").agg(F.count_if(F.col("status") == "running").alias("in_flight_processing")),
         letters=letters.agg(F.count_if(F.col("queue") == "frontier").alias("dead_letter"), F.count_if(F.col("queue") == "raw_pages").alias("raw_pages_dead_letter")),
-        pages=table(spark, d, "raw_pages").agg(F.count(F.lit(1)).alias("raw_pages_for_parser")).withColumn("raw_pages_in_flight", F.lit(0).cast("long")),
+        pages=_waiting(spark, d),
         totals=totals_.withColumnsRenamed({"documents": "parsed_documents_total", "markdown_tokens": "total_markdown_tokens_est"}),
     )
 
@@ -983,10 +1004,19 @@ def markdown_files(spark, d):
     return files.select("path", F.md5("content").alias("content_md5"))
 
 
-@query("SELECT count(*) AS total_count FROM parsed_documents")
+_EXPORTED = ["parsed_id", "url", "title", "meta_description", "extracted_links", "markdown", "estimated_tokens", "language"]
+
+
+@query("SELECT parsed_id, md5(to_json({" + ", ".join(f"'{c}': {c}" for c in _EXPORTED) + "})::VARCHAR) AS json_md5 FROM parsed_documents")
+def document_export(spark, d):
+    """SNK3, SNK6: the JSON of every document, whole."""
+    return table(spark, d, "parsed_documents").select("parsed_id", F.md5(sinks.document_json(_EXPORTED)).alias("json_md5"))
+
+
+@query("SELECT count(*) AS total_count, coalesce(sum(strlen(to_json({" + ", ".join(f"'{c}': {c}" for c in _EXPORTED) + "})::VARCHAR)), 0)::BIGINT AS json_bytes FROM parsed_documents")
 def export_count(spark, d):
-    """SNK3, SNK6."""
-    return sinks.export_summary(table(spark, d, "parsed_documents"), ["parsed_id", "url", "title", "markdown"]).select("total_count")
+    """The head of SNK3: how many documents, and the bytes of their JSON."""
+    return sinks.export_summary(table(spark, d, "parsed_documents"), _EXPORTED)
 
 
 _SITE = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\.', '')"
@@ -1009,10 +1039,14 @@ def site_bundles(spark, d):
     return parts.withColumn("content_md5", F.md5("content")).drop("content")
 
 
-@query(rf"SELECT {_SITE} AS site, count(*) AS documents, coalesce(sum(estimated_tokens), 0)::BIGINT AS tokens FROM parsed_documents GROUP BY 1")
+@query(
+    rf"""WITH s AS (SELECT {_SITE} AS site, count(*) AS documents, coalesce(sum(estimated_tokens), 0)::BIGINT AS tokens FROM parsed_documents GROUP BY 1)
+    SELECT *, '# Knowledge base: ' || site || E'\n- **Total Documents:** ' || documents || E'\n- **Total Estimated LLM Tokens:** ~' || tokens
+      || E'\n\n## Table of Contents' AS head FROM s"""
+)
 def bundle_heads(spark, d):
     """SNK4, AG7."""
-    return sinks.bundle_heads(table(spark, d, "parsed_documents"), urls.site(F.col("url"))).drop("head")
+    return sinks.bundle_heads(table(spark, d, "parsed_documents"), urls.site(F.col("url")))
 
 
 @query("SELECT parsed_id FROM parsed_documents WHERE coalesce(language, '') IN ('fa', 'de', '')")
@@ -1087,13 +1121,42 @@ def page_markdown(spark, d):
     return extract.documents(table(spark, d, "raw_pages")).select("page_id", "text_sample", "markdown", "fingerprint")
 
 
-@query()
+@query(
+    rf"""SELECT page_id, coalesce({_trim(_unescaped("regexp_extract(html, '(?is)<meta name=.description. content=.([^>]*).>', 1)"))}, '') AS meta_description,
+      len(regexp_extract_all(html, '(?i)<meta +(property|name)=.(og:|twitter:|article:|author|date|pubdate|application-name)'))::BIGINT AS keys FROM raw_pages"""
+)
 def page_metadata(spark, d):
-    """HT3, HT4."""
-    return extract.documents(table(spark, d, "raw_pages")).select("page_id", "meta_description", "metadata")
+    """HT3, HT4: descriptions, and how many keys of metadata there are."""
+    e = extract.extract(table(spark, d, "raw_pages").select("page_id", "html"))
+    return e.select("page_id", "meta_description", F.size("metadata").cast("long").alias("keys"))
 
 
-@query()
+_ASSET_PATH = r"lower(regexp_extract(canonical, '^https?://[^/?#]*([^?#]*)', 1))"
+_RESOLVED = rf"""
+    pg AS (SELECT page_id, job_id, url, depth, max_depth, stay_in_domain, scope_host, regexp_extract({_trim('url')}, '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)', 1) AS root,
+        unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?i)<a\s[^>]*?href=[\x22\x27]?([^\x22\x27\s>]*)', 1)) AS href FROM raw_pages),
+    hr AS (SELECT row_number() OVER () AS i, *, CASE WHEN href[1] = '/' AND href[2] <> '/' THEN root || href ELSE href END AS whole FROM pg WHERE href[1] <> '#'),
+    {_canonical_sql('hr', 'i', 'whole')},
+    ow AS (SELECT row_number() OVER () AS i, url FROM (SELECT DISTINCT url FROM raw_pages)),
+    {_canonical_sql('ow', 'i').replace('p0', 'q0').replace('p1', 'q1').replace('p2', 'q2').replace('p3', 'q3').replace('p4', 'q4').replace('canon AS', 'own0 AS')},
+    own AS (SELECT ow.url, own0.canonical AS self FROM ow JOIN own0 ON own0.k = ow.i),
+    ln AS (SELECT DISTINCT page_id, job_id, depth, max_depth, stay_in_domain, scope_host, c.canonical FROM hr JOIN canon c ON c.k = hr.i JOIN own USING (url)
+      WHERE c.canonical IS NOT NULL AND c.canonical IS DISTINCT FROM own.self AND NOT regexp_matches({_ASSET_PATH}, '{_ASSET}')
+        AND (NOT coalesce(stay_in_domain, false) OR {_scope_sql("regexp_extract(c.canonical, '^https?://([^/?#:]*)', 1)", "coalesce(nullif(scope_host, ''), regexp_extract(lower(hr.url), '^ *https?://(?:[^/?#@]*@)?([^/?#:]*)', 1))")}))"""
+
+
+@query(f"WITH {_RESOLVED} SELECT page_id, list(canonical ORDER BY canonical) AS links FROM ln GROUP BY page_id")
+def page_links(spark, d):
+    """URL11, TK1: the links of every page that may be followed, each once, in order."""
+    return extract.documents(table(spark, d, "raw_pages")).select("page_id", F.col("extracted_links").alias("links")).filter("size(links) > 0")
+
+
+@query(
+    f"""WITH {_RESOLVED}, ch AS (SELECT canonical AS url, job_id, depth + 1 AS depth, max_depth, stay_in_domain, scope_host,
+        row_number() OVER (PARTITION BY canonical ORDER BY depth, job_id, max_depth NULLS FIRST, stay_in_domain NULLS FIRST, scope_host NULLS FIRST) AS rn FROM ln WHERE depth + 1 <= max_depth)
+    SELECT job_id, depth::INTEGER AS depth, max_depth, 5::INTEGER AS priority, stay_in_domain, scope_host, url FROM ch
+    WHERE rn = 1 AND url NOT IN (SELECT self FROM own WHERE self IS NOT NULL)"""
+)
 def page_children(spark, d):
     """URL11, URL13, GEN3, TK1: new targets from the links of pages, less the pages' own addresses."""
     pages = table(spark, d, "raw_pages")
