@@ -64,12 +64,24 @@ def malformed_pages(raw: DataFrame, column: str = "payload") -> DataFrame:
     """Raw page JSON with error: the reason of the dead letter, or null."""
     p = F.from_json(column, RAW_PAGE)
     missing = F.array_compact(F.array(*[F.when(p[f].isNull(), F.lit(f)) for f in ("job_id", "url", "status_code", "depth", "max_depth", "html")]))
-    error = F.when(p.isNull(), "malformed RawPage: no JSON").when(
+    # A cut payload reads as a record of nulls; only the parser tells that it is no JSON at all.
+    error = F.when(p.isNull() | F.try_parse_json(column).isNull(), "malformed RawPage: no JSON").when(
         F.size(missing) > 0, F.concat(F.lit("malformed RawPage: "), F.array_join(missing, ", "), F.lit(" field required"))
     )
     return raw.withColumn("error", error)
 
 
+def split_pages(raw: DataFrame, column: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """(pages read from their JSON, dead letters with their reason) of claimed payloads; a null payload is one that is
+    missing or has expired."""
+    told = malformed_pages(raw, column)
+    reason = F.when(F.col(column).isNull(), "payload missing or expired").otherwise(F.col("error"))
+    told = told.withColumn("reason", reason).drop("error")
+    others = [c for c in raw.columns if c != column]
+    good = told.filter("reason is null").withColumn("p", F.from_json(column, RAW_PAGE)).select(*others, "p.*")
+    return good, told.filter("reason is not null").select(*others, "reason")
+
+
 def job_key_of_json(item: Column) -> Column:
     return F.get_json_object(item, "$.job_id")
 

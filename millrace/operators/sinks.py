@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-from pathlib import Path
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace import storage
 from millrace.functions.text import file_key, front_matter
 from millrace.functions.urls import slug
 from millrace.operators.ordered import running
@@ -43,16 +42,21 @@ def markdown_files(docs: DataFrame, parsed_at: Column) -> DataFrame:
 
 
 def write_files(files: DataFrame, root: str) -> None:
-    """Write (path, content) rows below a shared root, each by a rename, so that a task that runs twice
-    leaves the same files."""
+    """Write (path, content) rows below a root on any file system that Arrow knows (a path, file:, hdfs:, s3:, gs:),
+    each by a rename, so that a task that runs twice leaves the same files."""
 
     def put(rows) -> None:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root) if ":" in root else (fs.LocalFileSystem(), root)
         for row in rows:
-            path = Path(root, row["path"])
-            path.parent.mkdir(parents=True, exist_ok=True)
-            part = path.with_name(f".{path.name}.{os.getpid()}")
-            part.write_text(row["content"], encoding="utf-8")
-            part.replace(path)
+            path = f"{base}/{row['path']}"
+            folder, _, name = path.rpartition("/")
+            store.create_dir(folder, recursive=True)
+            part = f"{folder}/.{name}.{uuid.uuid4().hex}"
+            with store.open_output_stream(part) as out:
+                out.write(row["content"].encode("utf-8"))
+            store.move(part, path)
 
     files.select("path", "content").foreachPartition(put)
 
@@ -164,6 +168,7 @@ def claim_checks(pages: DataFrame) -> DataFrame:
 
 
 def reset(*paths: str) -> None:
-    """Remove tables and checkpoints."""
+    """Remove tables and checkpoints, on any file system; what is not there is no error."""
+    spark = SparkSession.active()
     for p in paths:
-        shutil.rmtree(p, ignore_errors=True)
+        storage.delete(spark, p)

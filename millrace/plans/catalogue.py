@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text, urls
 from millrace.operators import chunks as ch
 from millrace.operators import deadletters, extract, frontier, jobs, outcomes, sinks, submit
-from millrace.schemas import COUNTERS, CRAWL_TARGET
+from millrace.schemas import COUNTERS, CRAWL_TARGET, RAW_PAGE
 from millrace.session import table, written
 from millrace.settings import DEFAULTS
 from millrace.sources import seeds
@@ -1178,13 +1178,33 @@ def child_targets(spark, d):
     return submit.children(docs, p.select("url")).select("url", "job_id")
 
 
+@query(
+    """SELECT page_id, CASE WHEN page_id % 13 = 0 THEN 'payload missing or expired' WHEN page_id % 11 = 0 THEN 'malformed RawPage: no JSON'
+      WHEN page_id % 7 = 0 THEN 'malformed RawPage: ' || CASE WHEN url IS NULL THEN 'url, ' ELSE '' END || 'html field required' ELSE NULL END AS reason FROM raw_pages"""
+)
+def page_letters(spark, d):
+    """DC7: which claimed payloads are pages. Some are cut, some lack their html, some are gone."""
+    good, dead = _claimed_pages(spark, d)
+    return dead.unionByName(good.select("page_id", F.lit(None).cast("string").alias("reason")))
+
+
+def _claimed_pages(spark, d) -> tuple[DataFrame, DataFrame]:
+    p, k = table(spark, d, "raw_pages"), F.col("page_id")
+    fields = [f.split()[0] for f in RAW_PAGE.split(", ")]
+    whole = F.to_json(F.struct(*[F.when(k % 7 != 0, F.col(c)).alias(c) if c == "html" else F.col(c) for c in fields]))
+    payload = F.when(k % 13 != 0, F.when(k % 11 == 0, F.substring(whole, 1, 20)).otherwise(whole))
+    return deadletters.split_pages(p.select("page_id", payload.alias("payload")))
+
+
 @query()
 def parse_outcomes(spark, d):
-    """DC7: what becomes of every page."""
-    docs = extract.documents(table(spark, d, "raw_pages")).select("page_id", "job_id", "fetched_at", "fingerprint", "error")
+    """DC7: what becomes of every claimed page: committed, duplicate, or dead (also if it is no page at all)."""
+    good, dead = _claimed_pages(spark, d)
+    docs = extract.documents(good).select("page_id", "fetched_at", "fingerprint", "error")
     docs = extract.first_of_content(written(docs))
     outcome = F.when(F.col("error").isNotNull(), "dead").when(F.col("is_duplicate"), "duplicate").otherwise("commit")
-    return docs.groupBy("job_id").agg(*[F.count_if(outcome == o).alias(o) for o in ("commit", "duplicate", "dead")])
+    every = docs.select("page_id", outcome.alias("outcome")).unionByName(dead.select("page_id", F.lit("dead").alias("outcome")))
+    return every.groupBy("outcome").agg(F.count(F.lit(1)).alias("pages"))
 
 
 @query()
@@ -1193,7 +1213,7 @@ def streamed_documents(spark, d):
     from millrace.session import shared_dir
     from uuid import uuid4
 
-    root = f"{shared_dir(spark)}/millrace/stream-{uuid4().hex}".removeprefix("file://")
+    root = f"{shared_dir(spark)}/millrace/stream-{uuid4().hex}"
     source = table(spark, d, "raw_pages")
     pipeline.run_pages(spark, f"{d}/raw_pages.parquet", source.schema, root, files_per_batch=16).awaitTermination()
     return pipeline.committed(spark, root, "documents").select("page_id", "url", "title", "fingerprint", "estimated_tokens")

@@ -7,27 +7,30 @@ seen in earlier batches is anti-joined from the committed fingerprints."""
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from millrace.operators import extract, jobs, submit
+from millrace import storage
+from millrace.operators import extract, frontier, jobs, outcomes, submit
+from millrace.session import written
+from millrace.settings import DEFAULTS, Settings
 
 
 def page_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     """Raw pages as they arrive in a folder (or the one file that is given)."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    if Path(path).is_file():
-        return reader.option("pathGlobFilter", Path(path).name).parquet(str(Path(path).parent))
+    if storage.is_file(spark, path):
+        folder, _, name = path.rpartition("/")
+        return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)
 
 
 def committed(spark: SparkSession, root: str, name: str) -> DataFrame | None:
     """What was committed below root/name; None before the first commit."""
-    done = sorted(Path(root, "commits").glob("batch_id=*")) if Path(root, "commits").exists() else []
-    paths = [str(Path(root, name, d.name)) for d in done if Path(root, name, d.name).exists()]
+    there = set(storage.names(spark, f"{root}/{name}"))
+    paths = [f"{root}/{name}/{at}" for at in storage.names(spark, f"{root}/commits") if at in there]
     return spark.read.parquet(*paths) if paths else None
 
 
@@ -37,10 +40,10 @@ def commit_batch(root: str) -> Callable[[DataFrame, int], None]:
     def run(pages: DataFrame, batch_id: int) -> None:
         spark = pages.sparkSession
         at = f"batch_id={batch_id}"
-        Path(root, "commits", at).unlink(missing_ok=True)
+        storage.delete(spark, f"{root}/commits/{at}")
 
         def put(df: DataFrame, name: str) -> DataFrame:
-            path = str(Path(root, name, at))
+            path = f"{root}/{name}/{at}"
             df.write.mode("overwrite").parquet(path)
             return spark.read.schema(df.schema).parquet(path)
 
@@ -60,16 +63,14 @@ def commit_batch(root: str) -> Callable[[DataFrame, int], None]:
         )
         put(jobs.counters(events), "counters")
         put(jobs.totals(kept), "totals")
-        mark = Path(root, "commits", at)
-        mark.parent.mkdir(parents=True, exist_ok=True)
-        mark.touch()
+        storage.touch(spark, f"{root}/commits/{at}")
 
     return run
 
 
 def run_pages(spark: SparkSession, source: str, schema, root: str, files_per_batch: int = 1, continuous: str | None = None) -> StreamingQuery:
     """Start the stream: all that is there (availableNow), or on a processing-time trigger."""
-    writer = page_stream(spark, source, schema, files_per_batch).writeStream.foreachBatch(commit_batch(root)).option("checkpointLocation", str(Path(root, "checkpoint")))
+    writer = page_stream(spark, source, schema, files_per_batch).writeStream.foreachBatch(commit_batch(root)).option("checkpointLocation", f"{root}/checkpoint")
     return (writer.trigger(processingTime=continuous) if continuous else writer.trigger(availableNow=True)).start()
 
 
@@ -98,3 +99,36 @@ def crawl(step: Callable[[int], int], max_pages: int) -> int:
             break
         done, n = done + got, n + 1
     return done
+
+
+def turn(
+    state: dict[str, DataFrame], fetch: Callable[[DataFrame], DataFrame], now_ms: int, s: Settings = DEFAULTS, tie: str = "target_id", stopping: bool = False
+) -> dict[str, DataFrame]:
+    """One turn of the crawl over tables, in the order of a worker: retries that are due are promoted, the best
+    target of every ready host is claimed and fetched, the outcomes are settled.
+
+    state: `scheduled` targets with host and score, `delayed` the same with not_before_ms, `hosts` (host,
+    ready_at_ms). fetch adds what fetch_outcomes reads; with stopping=True nothing is fetched and claims are
+    released. The result: the new state, and `pages` (to the parser), `dead`, `counters` of this turn."""
+    due = written(frontier.due_retries(state["delayed"], now_ms, tie, s.promote_batch))
+    delayed = state["delayed"].join(due.select(tie), tie, "left_anti")
+    scheduled = written(state["scheduled"].unionByName(due.drop("not_before_ms")))
+    claims = written(frontier.next_claims(scheduled, state["hosts"], now_ms, tie))
+    if stopping:
+        settled = {"release": claims}
+        return state | {"scheduled": scheduled, "delayed": written(delayed), "pages": claims.limit(0), "dead": claims.limit(0)} | settled
+    told = written(outcomes.fetch_outcomes(fetch(claims), s))
+    to = frontier.settle(told)
+    columns = scheduled.columns
+    again = to["delay"].withColumn("attempts", (F.coalesce("attempts", F.lit(0)) + 1).cast("int")).withColumn("not_before_ms", F.lit(now_ms) + F.col("delay_ms"))
+    contacted = told.select("host", (F.lit(now_ms) + F.col("gap_ms")).alias("next_ms"))
+    hosts = state["hosts"].join(contacted, "host", "full_outer").select("host", F.coalesce("next_ms", "ready_at_ms").alias("ready_at_ms"))
+    return {
+        "scheduled": written(scheduled.join(claims.select(tie), tie, "left_anti")),
+        "delayed": written(delayed.unionByName(again.select(*columns, "not_before_ms"))),
+        "hosts": written(hosts),
+        "pages": to["push"],
+        "dead": to["dead"].select(tie, "reason"),
+        "counters": told.groupBy("counter").agg(F.count(F.lit(1)).alias("n")),
+        "release": claims.limit(0),
+    }

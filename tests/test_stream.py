@@ -35,6 +35,44 @@ def test_crawl_stops():
     assert pipeline.crawl(lambda n: 0, 5) == 0
 
 
+def test_turns_of_a_crawl(spark):
+    targets = [(1, "https://a.test/x", "a.test", 0), (2, "https://a.test/y", "a.test", 0), (3, "https://b.test/", "b.test", 2), (4, "https://c.test/", "c.test", 0)]
+    t = spark.createDataFrame(targets, "target_id long, url string, host string, attempts int").withColumn("score", F.col("target_id"))
+    t = t.withColumns({"scope_host": F.lit(""), "stay_in_domain": F.lit(False)})
+    state = {"scheduled": t, "delayed": t.limit(0).withColumn("not_before_ms", F.lit(0).cast("long")), "hosts": spark.createDataFrame([("c.test", 5000)], "host string, ready_at_ms long")}
+
+    def fetch(claims):
+        none, busy = F.lit(None).cast("string"), F.col("host").isin("b.test", "c.test")
+        return claims.withColumns(
+            {"robots_error": none, "allowed": F.lit(True), "crawl_delay_ms": F.lit(0), "blocked_address": F.lit(False), "net_error": none,
+             "status": F.when(busy, 503).otherwise(200), "final_url": F.col("url"), "content_type": F.lit("text/html"), "body_head": none, "retry_after_ms": F.lit(0)}
+        )
+
+    ids = lambda df: sorted(r.target_id for r in df.collect())
+    one = pipeline.turn(state, fetch, 0)
+    assert ids(one["pages"]) == [1] and ids(one["dead"]) == [3] and ids(one["scheduled"]) == [2, 4]
+    early = pipeline.turn(one, fetch, 500)
+    assert ids(early["pages"]) == [] and ids(early["scheduled"]) == [2, 4]
+    two = pipeline.turn(early, fetch, 5000)
+    assert ids(two["pages"]) == [2] and ids(two["delayed"]) == [4] and two["delayed"].first().not_before_ms == 10_000
+    three = pipeline.turn(two, fetch, 10_000)
+    assert ids(three["scheduled"]) == [] and three["delayed"].first().attempts == 2
+    last = pipeline.turn(three, fetch, 60_000, stopping=True)
+    assert ids(last["release"]) == [4] == ids(last["scheduled"]) and ids(last["pages"]) == []
+
+
+def test_files_are_written_by_rename(spark, tmp_path):
+    from millrace.operators import sinks
+
+    files = spark.createDataFrame([("j/a.md", "ä"), ("j/b.md", "")], "path string, content string")
+    for root in (str(tmp_path / "x"), f"file://{tmp_path}/y"):
+        sinks.write_files(files, root)
+        sinks.write_files(files, root)
+    assert sorted(p.name for p in (tmp_path / "y" / "j").iterdir()) == ["a.md", "b.md"] and (tmp_path / "x/j/a.md").read_text(encoding="utf-8") == "ä"
+    sinks.reset(str(tmp_path / "x"), str(tmp_path / "nothing"))
+    assert not (tmp_path / "x").exists()
+
+
 def test_windowed_counts_need_event_time(spark, tmp_path):
     df = spark.createDataFrame([("2024-01-01 00:10:00", "a"), ("2024-01-01 00:20:00", "a"), ("2024-01-01 05:00:00", "b")], "ts string, k string")
     df.select(F.col("ts").cast("timestamp").alias("ts"), "k").write.parquet(str(tmp_path / "e"))
