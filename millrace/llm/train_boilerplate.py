@@ -153,8 +153,6 @@ def main(data: str) -> None:
             tp, fp, fn = tp + a * b, fp + a * (1 - b), fn + (1 - a) * b
             if a != b:
                 bad[int(a), line[:150]] += 1
-    for probe in ("Type something here", "Please turn on scripts", "(9", "Go back"):
-        print(probe, Counter(v for *_, r, y in labelled for (line, *_), v in zip(r, y) if probe in line))
     print(f"held-out: precision {tp / (tp + fp):.4f} recall {tp / (tp + fn):.4f}; features {len(number)}")
     for (a, line), c in bad.most_common(60):
         print(c, "predicted", a, line)
