@@ -220,6 +220,28 @@ def test_messages_are_learnt_from_unlabelled_records():
     assert not any(often.share(t)[0] for t in plain)
 
 
+def test_residue_is_fitted_on_every_record(spark):
+    """Beyond the 4,000 records that the model was once fitted on, and equal in any order and number of partitions."""
+    plain = [(k, f"Anna went to the {w} and spoke about boats for a while.") for k, w in enumerate(["market", "harbour", "school"] * 3000)]
+    new = [(9000 + k, "Error: the gizmo vault refuses entry. The page gizmo vault refuses service." if k % 2 else "Access denied. The gizmo vault refuses entry to this page.") for k in range(8)]
+    df = spark.createDataFrame(plain + new, "parsed_id long, text_sample string")
+    rows = residue.tokenised(df)
+    model = residue.fit_tokenised(rows)
+    trusted, rest = ([t for _, t in plain + new if residue.trusted(t) is x] for x in (True, False))
+    seeds = [m.replace("\\w+", "title") for m in residue._LITERALS]
+    local = residue.Residue.fit(seeds + trusted, rest)
+    assert model.odds == local.odds and model.prior == local.prior and len(rest) > 9000
+    assert residue.fit(df.repartition(7, F.rand(1))).odds == model.odds
+
+
+def test_trusted_texts_are_those_of_the_patterns():
+    for m in residue._LITERALS:
+        for t in (m.replace("\\w+", "title"), m.replace("\\w+", "title").upper()):
+            assert residue.trusted(t) == bool(residue._MESSAGE.search(t))
+    assert residue.trusted("PAGE NOT FOUND") and residue.trusted("page ı vıa acceſs denıed") and not residue.trusted("A page about pages.")
+    assert residue.trusted("%%a%% {{ b }} __c__") and not residue.trusted("%%a%% {{ b }}")
+
+
 def test_residue_in_html(spark):
     prose = spark.createDataFrame([(k, t) for k, t in enumerate([*PROSE.values()] * 20)], "parsed_id long, text_sample string")
     model = residue.fit(prose)
