@@ -278,6 +278,15 @@ def test_spam_pages(spark):
     assert spam.spam_cases(df.limit(0), samples(spark)).count() == 0
 
 
+def test_prose_models_count_every_sample(spark):
+    """Beyond the 4,000 texts that were once read."""
+    rows = [(k, "en" if k % 2 else "de", f"word{k} common") for k in range(9000)] + [(9001, None, "x"), (9002, "en", None)]
+    df = spark.createDataFrame(rows, "sample_id long, language string, text string").repartition(5)
+    got = spam.prose_models(df)
+    assert list(got) == ["de", "en"] and all(len(c) == 4501 for c in got.values())
+    assert np.isclose(np.exp(got["en"]["common"]), 4500 / (9000 * 1.25)) and np.isclose(np.exp(got["de"]["word8998"]), 1 / (9000 * 1.25))
+
+
 def test_short_link_lists(spark):
     lists = [
         "\n".join(f"https://s{k}.example/x" for k in range(26)), "# Two Words\n\n" + "\n".join(f"Name https://s{k}.test/x\nhttps://t{k}.test/" for k in range(12)),
