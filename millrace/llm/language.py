@@ -1,8 +1,10 @@
 """Language of documents and of the segments of mixed ones, by nearest centroid.
 
 Sentences are TF-IDF vectors of hashed character n-grams (2 and 3, with word boundaries), normalised. Each
-language has several centroids, clustered (spherical k-means) from the sentences of labelled sample texts;
-a sentence is as similar to a language as its nearest centroid by cosine. A sentence nearer to none than
+language has several centroids, clustered (spherical k-means) from the sentences of every labelled sample text:
+the sentences are written once as n-gram counts, and each step is one pass over them of which only centroids
+(or one sentence for each language) come to the driver. Sums are of whole parts, so that no order of rows
+changes them. A sentence is as similar to a language as its nearest centroid by cosine. A sentence nearer to none than
 REJECT is rejected: it neither begins nor ends a segment. Over the sentences of a document the best path
 is taken that pays SWITCH for each change of language, so that a weak sentence follows its neighbours.
 
@@ -20,7 +22,7 @@ empty table gives an empty result; label parts are compared before '-' or '_', i
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,9 +35,11 @@ from millrace.functions.urls import site
 from millrace.llm.boilerplate import Model
 from millrace.llm.crf import viterbi
 from millrace.llm.units import markdown_units, site_word
-from millrace.session import spread
+from millrace.session import spread, written
 
-DIM_BITS, ORDERS, CENTROIDS, MAX_SAMPLES = 16, (2, 3), 3, 4000
+DIM_BITS, ORDERS, CENTROIDS, ROUNDS = 16, (2, 3), 3, 10
+#: Whole parts of a weight in which the sums of centroids are counted.
+PARTS = 1 << 30
 REJECT, SWITCH = 0.2, 0.2
 SENTENCE = re.compile(r"(?<=[.!?؟…۔])[\"'»”)]*\s+")
 _STOPS = re.compile(r"[.!?؟…۔][\"'»”)]*\s*$")
@@ -60,6 +64,63 @@ def _grams(word: str) -> np.ndarray:
     return np.array([xxhash.xxh32_intdigest(g) >> (32 - DIM_BITS) for g in out], dtype=np.int32)
 
 
+#: Sentences of labelled texts: the distinct n-grams with their counts. head: the text, at its first sentence.
+_COUNTED = pa.schema([("lang", pa.string()), ("head", pa.string()), ("sentence", pa.string()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
+
+
+def counted(langs: list[str], texts: list[str]) -> pa.RecordBatch:
+    out: list[tuple] = []
+    for lang, text in zip(langs, texts):
+        head: str | None = text
+        for line in text.split("\n"):
+            for s in sentences(line):
+                if words := _WORD.findall(s.lower()):
+                    at, n = np.unique(np.concatenate([_grams(w) for w in words]), return_counts=True)
+                    out.append((lang, head, s, at, n.astype(np.int32)))
+                    head = None
+    return pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*out), _COUNTED)] if out else [pa.array([], f.type) for f in _COUNTED], schema=_COUNTED)
+
+
+class Steps:
+    """One step of k-means over a batch of counted sentences. rows: k for each language (rows of zeros are none)."""
+
+    def __init__(self, langs: list[str], idf: np.ndarray, k: int, rows: np.ndarray):
+        self.langs, self.idf, self.k, self.rows = langs, idf, k, rows
+
+    def _near(self, batch: pa.RecordBatch):
+        number = {lang: i for i, lang in enumerate(self.langs)}
+        own = np.array([number[x] for x in batch.column("lang").to_pylist()], dtype=np.int64)
+        sizes = batch.column("at").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        at = batch.column("at").flatten().to_numpy(zero_copy_only=False)
+        value = batch.column("n").flatten().to_numpy(zero_copy_only=False) * self.idf[at].astype(np.float64)
+        begin = np.cumsum(sizes) - sizes
+        value /= np.repeat(np.sqrt(np.add.reduceat(value * value, begin)), sizes)
+        first, none = np.repeat(own * self.k, sizes), ~self.rows.any(axis=1)
+        cosine = [np.where(none[own * self.k + j], -1, np.add.reduceat(self.rows[first + j, at] * value, begin)) for j in range(self.k)]
+        return own, sizes, at, value, np.round(np.stack(cosine), 9)
+
+    def farthest(self, batch: pa.RecordBatch) -> list[tuple]:
+        """(lang, near, sentence, at, n) of the sentence of each language that is farthest from its centroids."""
+        if not batch.num_rows:
+            return []
+        own, _, _, _, cosine = self._near(batch)
+        near, text, best = cosine.max(axis=0).tolist(), batch.column("sentence").to_pylist(), {}
+        for i, lang in enumerate(own.tolist()):
+            if lang not in best or (near[i], text[i]) < (near[best[lang]], text[best[lang]]):
+                best[lang] = i
+        return [(self.langs[lang], near[i], text[i], *(batch.column(c)[i].as_py() for c in ("at", "n"))) for lang, i in best.items()]
+
+    def sums(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """The sums of the sentences nearest to each centroid: places (centroid and dimension) and PARTS."""
+        if not batch.num_rows:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        own, sizes, at, value, cosine = self._near(batch)
+        place, inverse = np.unique((np.repeat(own * self.k + cosine.argmax(axis=0), sizes) << DIM_BITS) + at, return_inverse=True)
+        out = np.zeros(len(place), dtype=np.int64)
+        np.add.at(out, inverse, np.rint(value * PARTS).astype(np.int64))
+        return place, out
+
+
 class Centroids:
     """Languages, centroids (one row each), their language numbers, and idf."""
 
@@ -73,45 +134,51 @@ class Centroids:
         return Centroids, (self.langs, self.rows, self.owner, self.idf)
 
     @classmethod
-    def fit(cls, samples: list[tuple[str, str]], k: int = CENTROIDS, rounds: int = 10) -> Centroids:
-        parts = [(lang, s) for lang, text in samples for line in text.split("\n") for s in sentences(line) if _WORD.search(s)]
-        langs = sorted({lang for lang, _ in parts})
-        dims = 1 << DIM_BITS
-        # Sparse rows: the distinct n-grams of each sentence with their weights.
-        grams = [np.unique(np.concatenate([_grams(w) for w in _WORD.findall(s.lower())]), return_counts=True) for _, s in parts]
-        df = np.zeros(dims, dtype=np.int64)
-        for at, _ in grams:
-            df[at] += 1
-        idf = np.log((1 + len(parts)) / (1 + df)).astype(np.float32) + 1
-        x = []
-        for at, n in grams:
-            value = n * idf[at]
-            x.append((at, (value / max(float(np.linalg.norm(value)), 1e-9)).astype(np.float32)))
-
-        def dots(row: np.ndarray, own: list) -> np.ndarray:
-            return np.array([row[at] @ value for at, value in own])
-
-        def dense(own: list) -> np.ndarray:
-            row = np.zeros(dims, dtype=np.float32)
-            for at, value in own:
-                row[at] += value
-            return row
-
-        rows, owner = [], []
-        for number, lang in enumerate(langs):
-            own = [v for v, p in zip(x, parts) if p[0] == lang]
-            # Farthest-first start: the same at every run.
-            c, near = [dense(own[:1])], dots(dense(own[:1]), own)
-            while len(c) < min(k, len(own)):
-                c.append(dense([own[int(near.argmin())]]))
-                near = np.maximum(near, dots(c[-1], own))
-            for _ in range(rounds):
-                at = np.stack([dots(row, own) for row in c]).argmax(axis=0)
-                c = [dense([v for v, j in zip(own, at) if j == n]) if (at == n).any() else row for n, row in enumerate(c)]
-                c = [row / max(float(np.linalg.norm(row)), 1e-9) for row in c]
-            rows += c
-            owner += [number] * len(c)
-        return cls(langs, np.stack(rows) if rows else np.zeros((0, dims), np.float32), np.array(owner, dtype=np.int64), idf)
+    def fit(cls, samples: list[tuple[str, str]], k: int = CENTROIDS, rounds: int = ROUNDS) -> Centroids:
+        batch = counted([lang for lang, _ in samples], [text for _, text in samples])
+        starts: dict[str, tuple] = {}
+        for r in batch.to_pylist():
+            if r["head"] is not None and (r["lang"] not in starts or r["head"] < starts[r["lang"]][0]):
+                starts[r["lang"]] = (r["head"], r["at"], r["n"])
+        df = np.bincount(batch.column("at").flatten().to_numpy(zero_copy_only=False), minlength=1 << DIM_BITS)
+        return cls.clustered(
+            batch.num_rows, df, {lang: x[1:] for lang, x in starts.items()}, lambda s: s.farthest(batch), lambda s: s.sums(batch), k, rounds
+        )
+
+    @classmethod
+    def clustered(
+        cls, n: int, df: np.ndarray, starts: dict[str, tuple], farthest: Callable[[Steps], list[tuple]],
+        sums: Callable[[Steps], tuple[np.ndarray, np.ndarray]], k: int = CENTROIDS, rounds: int = ROUNDS,
+    ) -> Centroids:
+        """From the number of sentences, that of the sentences with each n-gram, a first sentence (at, n) for each
+        language, and Steps over all sentences."""
+        langs, dims = sorted(starts), 1 << DIM_BITS
+        idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+        rows = np.zeros((len(langs) * k, dims))
+
+        def put(row: int, at, n) -> None:
+            rows[row, at] = n * idf[at].astype(np.float64)
+            rows[row] /= max(float(np.linalg.norm(rows[row])), 1e-9)
+
+        # Farthest-first start: the same at every run.
+        for lang, (at, m) in starts.items():
+            put(langs.index(lang) * k, np.array(at), np.array(m))
+        for j in range(1, k if langs else 0):
+            for lang, near, _, at, m in farthest(Steps(langs, idf, k, rows)):
+                if near < 1:  # else every sentence is one of the centroids
+                    put(langs.index(lang) * k + j, np.array(at), np.array(m))
+        last = None
+        for _ in range(rounds if langs else 0):
+            place, value = sums(Steps(langs, idf, k, rows))
+            now = np.zeros(len(rows) * dims, dtype=np.int64)
+            now[place] = value
+            if last is not None and (now == last).all():
+                break  # every further round would give these centroids again
+            last, now = now, now.reshape(len(rows), dims).astype(np.float64)
+            some = now.any(axis=1)
+            rows[some] = now[some] / np.linalg.norm(now[some], axis=1)[:, None]
+        some = rows.any(axis=1)
+        return cls(langs, rows[some].astype(np.float32), np.repeat(np.arange(len(langs)), k)[some], idf)
 
     def _word(self, w: str) -> int:
         n = self._words.get(w)
@@ -212,9 +279,45 @@ _ARROW = pa.schema(list(zip(_NAMES, (pa.int64(), pa.int32(), pa.string(), pa.flo
 
 
 def fit(samples: DataFrame) -> Centroids:
-    """From at most MAX_SAMPLES labelled texts."""
-    rows = samples.select("language", "text").filter("language is not null and text is not null")
-    return Centroids.fit(sorted((r[0], r[1]) for r in rows.limit(MAX_SAMPLES).toLocalIterator()))
+    """From every labelled text."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                yield counted(part.column("language").to_pylist(), part.column("text").to_pylist())
+
+    texts = samples.select("language", "text").filter("language is not null and text is not null")
+    kinds = "lang string, head string, sentence string, at array<int>, n array<int>"
+    rows = written(texts.mapInArrow(cut, kinds))
+    starts = {r[0]: (r[1]["at"], r[1]["n"]) for r in rows.filter("head is not null").groupBy("lang").agg(F.min_by(F.struct("at", "n"), "head")).collect()}
+    df = np.zeros(1 << DIM_BITS, dtype=np.int64)
+    for at, n in rows.select(F.explode("at").alias("at")).groupBy("at").count().collect():
+        df[at] = n
+
+    def over_all(name: str, steps: Steps, kinds: str) -> DataFrame:
+        shared = rows.sparkSession.sparkContext.broadcast(steps)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if name == "sums":
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in shared.value.sums(batch)], names=["place", "value"])
+                elif found := shared.value.farthest(batch):
+                    types = [pa.string(), pa.float64(), *(f.type for f in list(_COUNTED)[2:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*found), types)], names=["lang", "near", "sentence", "at", "n"])
+
+        return rows.mapInArrow(run, kinds)
+
+    def farthest(steps: Steps) -> list[tuple]:
+        each = over_all("farthest", steps, "lang string, near double, sentence string, at array<int>, n array<int>")
+        least = each.groupBy("lang").agg(F.min(F.struct("near", "sentence", "at", "n")).alias("x"))  # one row for each language
+        return [(r["lang"], *r["x"]) for r in least.collect()]
+
+    def sums(steps: Steps) -> tuple[np.ndarray, np.ndarray]:
+        each = over_all("sums", steps, "place long, value long").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
+        return each.column("place").to_numpy(), each.column("value").to_numpy()
+
+    return Centroids.clustered(rows.count(), df, starts, farthest, sums)
 
 
 def segments(parsed: DataFrame, samples: DataFrame) -> DataFrame:

@@ -173,6 +173,20 @@ def test_cosine_is_exact():
         assert np.allclose(row, [(v @ r) / n if n else 0 for r in c.rows], atol=1e-5)
 
 
+def test_centroids_are_fitted_on_every_sample(spark):
+    """Beyond the 4,000 texts that were once read, and equal in any order and number of partitions."""
+    rows = [(k, "en", f"The old bridge {chr(97 + k % 26)}{chr(97 + k // 26 % 26)} was repaired.") for k in range(4500)] + [(5000 + k, "de", t) for k, t in enumerate(PROSE["de"].split(". ") * 2)]
+    rows += [(6000, None, "x"), (6001, "fr", None), (6002, "ru", "12 34"), (6003, "fa", "پل")]
+    df = spark.createDataFrame(rows, "sample_id long, language string, text string")
+    a, b = language.fit(df.coalesce(1)), language.fit(df.repartition(5, F.rand(2)))
+    local = language.Centroids.fit([(lang, t) for _, lang, t in rows if lang and t])
+    assert a.langs == b.langs == local.langs == ["de", "en", "fa"] and a.owner.tolist() == [0, 0, 0, 1, 1, 1, 2]
+    for x in (b, local):
+        assert (a.idf == x.idf).all() and (a.rows == x.rows).all()
+    # What none of the 4,507 sentences has weighs most.
+    assert np.isclose(a.idf.max(), np.log(1 + 4507) + 1)
+
+
 @needs_data
 def test_language_held_out(spark):
     s = spark.read.parquet(str(DATA / "language_samples.parquet"))
