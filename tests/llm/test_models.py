@@ -337,6 +337,25 @@ def test_curve_is_that_of_the_page(spark):
 # --- whole queries
 
 
+def test_site_lines_of_a_language_whose_samples_come_late(spark, tmp_path):
+    """English samples lie behind the 4,000 texts that were once read; without them the few English pages were taken for spam."""
+    late = [(k, "de", PROSE["de"]) for k in range(4500)] + [(5000, "en", PROSE["en"]), (5001, "en", None)]
+    spark.createDataFrame(late, "sample_id long, language string, text string").coalesce(1).write.parquet(f"{tmp_path}/language_samples.parquet")
+    line = "All pages of this place"
+
+    def page(lang, k):
+        prose = PROSE[lang].split(". ")
+        return ". ".join(prose[(k + j) % len(prose)].rstrip(".") for j in range(5 + k % 4)) + "."
+
+    rows = [(k, "https://a.test/x", page("en", k), f"{line}\n\n{page('en', k)}", []) for k in range(12)]
+    rows += [(200 + k, f"https://s{k}.test/x", page("de", k), page("de", k), []) for k in range(150)]
+    rows += [(100 + k, "https://a.test/x", "Short note on bridges.", f"{line}\n\n{_stuffed(k)}", []) for k in range(2)]
+    schema = "parsed_id long, url string, text_sample string, markdown string, extracted_links array<string>"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/parsed_documents.parquet")
+    got = {(r.parsed_id, r.line_no) for r in queries.p6_found(spark, str(tmp_path)).collect()}
+    assert {x for x in got if x[1] == 0} == {(k, 0) for k in range(12)} and not any(i >= 100 for i, _ in got)
+
+
 @needs_data
 def test_queries_on_the_smallest_tables(spark):
     d = "/root/testdata/sf0.001"
